@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, topk_search, toxicity, url_filter, warc
+from . import decontaminate, html_extract, minhash, packing, topk_search, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -40,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_warc, op4_decontaminate, op5_packing, op6_topk_search, op7_minhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_html_extract, op3_warc, op4_decontaminate, op5_packing, op6_topk_search, op7_minhash, op10_toxicity)}
 
 _OP1 = r"""
 WITH u AS (
@@ -69,6 +73,17 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
+_OP2 = r"""
+WITH b AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(p|h1)>') AS parts
+  FROM pages
+), t AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts
+  FROM b
+)
+SELECT page_id, url, coalesce(array_to_string(parts, E'\n\n'), '') AS text, CAST(length(coalesce(array_to_string(parts, E'\n\n'), '')) AS BIGINT) AS n_chars FROM t
+"""
+
 _OP3 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages WHERE page_id IS NOT NULL
@@ -118,4 +133,4 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE = {"op1_url_filter": _OP1, "op3_warc": _OP3, "op4_decontaminate": _OP4, "op6_topk_search": _OP6}
+ORACLE = {"op1_url_filter": _OP1, "op2_html_extract": _OP2, "op3_warc": _OP3, "op4_decontaminate": _OP4, "op6_topk_search": _OP6}
