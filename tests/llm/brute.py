@@ -40,3 +40,21 @@ def near_duplicates(rows):
     links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     of = groups(sets, links)
     return {(i, len(s), of[i], of[i] == i) for i, s in sets.items()}
+
+
+def repeated_bytes(rows, match=100):
+    """(doc_id, text) -> {(doc_id, n_bytes, n_removed, n_spans, sha256 of what is left)}"""
+    import hashlib
+
+    seen, out = set(), set()
+    for i, text in sorted(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - match + 1):
+            w = raw[s : s + match]
+            if w in seen:
+                gone[s : s + match] = b"\x01" * match
+            seen.add(w)
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out.add((i, len(raw), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest()))
+    return out
