@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, minhash, packing, suffix_dedup, topk_search, toxicity, url_filter, warc
+from . import decontaminate, html_extract, minhash, packing, passage_dedup, suffix_dedup, topk_search, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.near_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_html_extract, op3_warc, op4_decontaminate, op5_packing, op6_topk_search, op7_minhash, op8_suffix_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_html_extract, op3_warc, op4_decontaminate, op5_packing, op6_topk_search, op7_minhash, op8_suffix_dedup, op9_passage_dedup, op10_toxicity)}
 
 _OP1 = r"""
 WITH u AS (
