@@ -169,6 +169,17 @@ def shingles(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray, n
     return hashes, to, at
 
 
+#: Rows of a key table (some 30 bytes each in memory) up to which it is sent to every executor.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A staged key table with a broadcast hint where its counted rows are within the bound; beyond it joins shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def column_name(df: DataFrame, base: str) -> str:
     """A column name that df lacks, in any case."""
     taken = {c.lower() for c in df.columns}

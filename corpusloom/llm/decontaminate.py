@@ -116,3 +116,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs."""
+    spans = contaminated_spans(docs, benchmark)
+    bad = Staged(spans.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "contaminated").df
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h")), "left_anti")
