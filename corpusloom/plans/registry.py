@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import profile_queries, relational_queries, text_queries  # noqa: F401
+    from . import model_queries, profile_queries, relational_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
