@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, minhash, packing, passage_dedup, suffix_dedup, topk_search, toxicity, url_filter, warc
+from .common import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,8 +77,7 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN '.' || host || path LIKE '%.spam-%/%' OR '.' || host || path LIKE '%cheap-pills.%/%'
-      OR '.' || host || path LIKE '%casino%/%' OR '.' || host || path LIKE '%/%/wp-login.php%' THEN 'block'
+    WHEN '.' || host LIKE '%.spam-%' OR '.' || host LIKE '%cheap-pills.%' OR host LIKE '%casino%' OR path LIKE '%/wp-login.php%' THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A glob over the canonical URL ('.' + host + path). name: what a decided URL reports; None for the method's own
+    """A glob over the canonical URL, '.' + host + '#' + path, in which '#' stands once. name: what a decided URL reports; None for the method's own
     rules, which decide only where no named rule fits."""
 
     glob: str
@@ -23,7 +23,8 @@ class Rule:
 
 def prefix_rule(rule: str, verdict: str) -> Rule:
     """host/path: fits the host, its subdomains and every path that starts so."""
-    return Rule("*." + rule + "*", verdict, rule)
+    host, slash, path = rule.partition("/")
+    return Rule(f"*.{host}#{slash}{path}*", verdict, rule)
 
 
 #: The production rules.
@@ -33,10 +34,10 @@ RULES = (
     prefix_rule("net/de/", "allow"),
     prefix_rule("example.net/de/8", "block"),
     prefix_rule("org/es/", "block"),
-    Rule("*.spam-*/*", "block"),
-    Rule("*cheap-pills.*/*", "block"),
-    Rule("*casino*/*", "block"),
-    Rule("*/*/wp-login.php*", "block"),
+    Rule("*.spam-*#*", "block"),
+    Rule("*cheap-pills.*#*", "block"),
+    Rule("*casino*#*", "block"),
+    Rule("*#*/wp-login.php*", "block"),
 )
 
 
@@ -127,7 +128,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str =
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                fits = automaton.matches(["." + h + p for h, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
+                fits = automaton.matches([f".{h}#{p}" for h, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
                 best = np.full(part.num_rows, -1)
                 for k, i in enumerate(ranked):
                     best[fits[:, i]] = k
