@@ -268,7 +268,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     )
     records = records.select("page_id", "record_type", "refers_to", "bytes", own.alias("payload_digest"))
     of = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest")).agg(F.max("bytes").alias("of_bytes"))
-    met = records.join(of, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")), "left")
+    # the planner takes these tables for as small as the manifest they come from: without the hint it would broadcast one
+    met = records.join(of.hint("merge"), (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")), "left")
     size = F.when(F.col("record_type") == "revisit", F.coalesce("of_bytes", F.raise_error(F.lit("a revisit refers to a record that is not there")).cast("long"))).otherwise(F.col("bytes"))
     return met.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
