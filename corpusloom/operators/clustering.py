@@ -290,3 +290,21 @@ def vote(choices: Sequence[int], default: int = 8) -> int:
         return default
     values, n = np.unique(choices, return_counts=True)
     return int(values[n.argmax()]) if n.max() > 1 else int(np.median(choices))
+
+
+def hdbscan_search(rows: DataFrame, sizes: Sequence[int], most: int = 2000) -> DataFrame:
+    """size, n_clusters, noise_ratio, silhouette (of the rows that are not noise) of each least cluster size, on a fixed
+    sample; the best is the greatest silhouette. Settings without noise count too."""
+    sample = rows.select("id", "v").orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
+    out = []
+    for size in sizes:
+        met = sample.join(hdbscan(sample, size, most=most), "id")
+        n, noise = met.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))), F.avg((F.col("cluster") < 0).cast("double"))).first()
+        out.append((int(size), int(n), None if noise is None else round(noise, 6), metrics.silhouette(met).first()[0] if n > 1 else None))
+    return rows.sparkSession.createDataFrame(out, "size int, n_clusters int, noise_ratio double, silhouette double")
+
+
+def mixture_clusters(mixture: DataFrame, clusters: Sequence, k: int, seed: int = 42) -> DataFrame:
+    """id, cluster: k-means of papers by their mixture (paper_id, cluster, prop) over the given clusters."""
+    wide = mixture.groupBy("paper_id").agg(F.array(*[F.coalesce(F.max(F.when(F.col("cluster") == c, F.col("prop"))), F.lit(0.0)) for c in clusters]).alias("v"))
+    return k_means(wide.withColumnRenamed("paper_id", "id"), k, (seed,))[0]

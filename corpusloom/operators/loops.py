@@ -87,3 +87,23 @@ def parts(rows: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
     size = F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / n)
     return rows.withColumn("part", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+
+
+def run_or_load(spark, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The table at a path, made and written there if it is not complete (or if forced)."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if force or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def progress(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """status, n: how many of the keys are completed and how many pending."""
+    met = todo.select(key).join(done.select(key, F.lit("completed").alias("status")), key, "left")
+    return met.groupBy(F.coalesce("status", F.lit("pending")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pooled(windows: DataFrame) -> DataFrame:
+    """id, v: the mean of a text's window vectors (id, v)."""
+    mean = windows.select("id", F.posexplode("v").alias("pos", "x")).groupBy("id", "pos").agg(F.avg("x").alias("x"))
+    return mean.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p.x).alias("v"))

@@ -215,3 +215,72 @@ def interpretation(score, steps=((0.7, "strong"), (0.5, "reasonable"), (0.25, "w
     for t, text in steps:
         out = F.when(score >= t, text) if out is None else out.when(score >= t, text)
     return out.otherwise(below)
+
+
+def assignment(cost: np.ndarray) -> list[int]:
+    """The column of each row in an assignment of least total cost, for at most as many rows as columns: shortest
+    augmenting paths with potentials."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[at]:
+            used[at] = True
+            gap = cost[owner[at] - 1] - u[owner[at]] - v[1:]
+            better = ~used[1:] & (gap < least[1:])
+            least[1:][better], back[1:][better] = gap[better], at
+            nxt = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
+            step = least[nxt]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            at = nxt
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
+def aligned_confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, n, share (in its row) and aligned: whether b is the cluster matched to a by the assignment that keeps the most
+    rows together. The table of counts, a row per pair of labels that occurs, is matched in one place."""
+    table = confusion(rows, a, b).withColumn("one", F.lit(1))
+    schema = table.drop("one").schema.add("aligned", "boolean")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = sorted(frame["a"].unique()), sorted(frame["b"].unique())
+        count = np.zeros((len(left), len(right)))
+        count[[left.index(x) for x in frame["a"]], [right.index(x) for x in frame["b"]]] = frame["n"]
+        flip = count.shape[0] > count.shape[1]
+        match = assignment(-(count.T if flip else count))
+        pairs = {(left[j], right[i]) if flip else (left[i], right[j]) for i, j in enumerate(match)}
+        return frame.drop(columns="one").assign(aligned=[(x, y) in pairs for x, y in zip(frame["a"], frame["b"], strict=True)])
+
+    return table.groupBy("one").applyInPandas(run, schema)
+
+
+def compare(pipelines: dict[str, DataFrame]) -> DataFrame:
+    """first, second and agreement of every two clusterings (id, cluster), joined on the id."""
+    out = None
+    names = sorted(pipelines)
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            met = pipelines[x].join(pipelines[y].withColumnRenamed("cluster", "other"), "id")
+            one = agreement(met, "cluster", "other").select(F.lit(x).alias("first"), F.lit(y).alias("second"), "*")
+            out = one if out is None else out.union(one)
+    return out
+
+
+def perturbed_silhouette(rows: DataFrame, noise: float = 0.1, rounds: int = 3, most: int = 500, seed: int = 42) -> DataFrame:
+    """round, silhouette of the labels on vectors with normal noise; round 0 has none."""
+    out = None
+    for r in range(rounds + 1):
+        moved = rows if r == 0 else rows.withColumn("v", F.transform("v", lambda x, i: x + noise * F.sqrt(-2 * F.ln((F.pmod(F.xxhash64("id", i, F.lit(seed + r)), F.lit(1_000_003)) + 1) / 1_000_004.0)) * F.cos(2 * math.pi * F.pmod(F.xxhash64(i, "id", F.lit(seed + r)), F.lit(1_000_003)) / 1_000_003.0)))  # noqa: B023
+        one = silhouette(moved, most).select(F.lit(r).alias("round"), "silhouette")
+        out = one if out is None else out.union(one)
+    return out

@@ -279,3 +279,60 @@ def token_store_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"))
     store = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"), F.lit("stored").alias("chunks"))
     return readers.tokens_or_else(rows, store, F.lit("made"))
+
+
+@query()
+def aligned_confusion(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return metrics.aligned_confusion(docs, "lang", "source")
+
+
+@query()
+def pipeline_comparison(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return metrics.compare({"given": rows.select("id", "cluster"), "halves": rows.select("id", (F.col("cluster") % 2).alias("cluster")), "rest": rows.select("id", (F.col("id") % 7).alias("cluster"))})
+
+
+@query()
+def perturbation_stability(spark, sf_dir):
+    return metrics.perturbed_silhouette(_rows(spark, sf_dir), rounds=1, most=200)
+
+
+@query()
+def hdbscan_search(spark, sf_dir):
+    return clustering.hdbscan_search(_rows(spark, sf_dir), [3, 8], most=400)
+
+
+@query()
+def mixture_k_means(spark, sf_dir):
+    from ..operators import aggregates
+
+    mix = aggregates.mixture(table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("cluster")))
+    return clustering.mixture_clusters(mix, ["click", "view", "purchase"], 4)
+
+
+@query("SELECT CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'completed' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def job_progress(spark, sf_dir):
+    return loops.progress(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT vec_id % 10 AS id, pos::INT - 1 AS pos, round(avg(x), 6) AS x FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
+def window_mean_pooling(spark, sf_dir):
+    return _long(loops.pooled(_rows(spark, sf_dir).select((F.col("id") % 10).alias("id"), "v")))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def run_or_load(spark, sf_dir):
+    path = f"{_folder()}/step"
+    make = lambda: table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    loops.run_or_load(spark, path, make)
+    return loops.run_or_load(spark, path, make)
+
+
+@query("SELECT vec_id AS id, vec_id % 3 AS chunk, len(embedding) AS dim FROM embeddings")
+def chunk_folder_scan(spark, sf_dir):
+    path = _folder()
+    rows = _rows(spark, sf_dir).select("id", "v")
+    for c in range(3):
+        rows.where(F.col("id") % 3 == c).write.parquet(f"{path}/chunk_{c:04d}")
+    return readers.chunk_folders(spark, path).select("id", F.col("chunk").cast("long").alias("chunk"), F.size("v").cast("long").alias("dim"))

@@ -212,3 +212,14 @@ def test_predictions(spark):
     rows = spark.createDataFrame([([1.0, 3.0, 2.0],)], "logits array<double>")
     r = loops.predictions(rows).first()
     assert r.predicted == 1 and r.confidence == pytest.approx(math.exp(3) / (math.e + math.exp(3) + math.exp(2)))
+
+
+def test_assignment_is_the_best():
+    from itertools import permutations
+
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 3), (4, 6), (5, 5)):
+        cost = rng.integers(-9, 9, (n, m)).astype(float)
+        got = metrics.assignment(cost)
+        assert len(set(got)) == n
+        assert sum(cost[i, j] for i, j in enumerate(got)) == min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))
