@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from .filters import confident
 from .joins import move
+from .ranking import row_numbers
 
 Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -81,12 +82,10 @@ def route_errors(rated: DataFrame) -> DataFrame:
     return rated.withColumns({"label": F.when(F.col("score").isNull(), "LLM_error").otherwise(F.col("label")), "score": F.coalesce("score", F.lit(0))})
 
 
-def parts(rows: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """Adds part: n parts of equal length in order, the last one shorter."""
-    from pyspark.sql.window import Window
-
-    size = F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / n)
-    return rows.withColumn("part", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+def parts(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """Adds part: n parts of equal length in the order of a numeric key, the last one shorter."""
+    size = rows.agg(F.ceil(F.count(F.lit(1)) / n).alias("__size"))
+    return row_numbers(rows, key, "__at").join(F.broadcast(size)).withColumn("part", F.floor((F.col("__at") - 1) / F.col("__size")).cast("int")).drop("__at", "__size")
 
 
 def run_or_load(spark, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as vx
+from .ranking import value_ranks
 from .vectors import centroid_pairs, centroids, to_centroid
 
 
@@ -131,29 +132,39 @@ def coverage(assigned: DataFrame) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: rank correlation, ties at their mean rank."""
-    rank = lambda c: (F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0)
-    ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(rank(a).alias("x"), rank(b).alias("y"))
-    return ranked.agg(F.round(F.corr("x", "y"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
+    """One row: rank correlation, ties at their mean rank. Equal pairs are counted once, with their number."""
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = both.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    x, y = (value_ranks(both, c).select(F.col("value").alias(n), F.col("rank").alias(r)) for c, n, r in ((a, "a", "x"), (b, "b", "y")))
+    met = pairs.join(x, "a").join(y, "b")
+    k = F.col("k").cast("double")
+    s = met.agg(*[F.sum(k * e).alias(n) for n, e in (("n", F.lit(1.0)), ("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))])
+    c = lambda p, q, r: F.col(p) - F.col(q) * F.col(r) / F.col("n")
+    return s.select(F.round(c("xy", "x", "y") / F.sqrt(c("xx", "x", "x") * c("yy", "y", "y")), 6).alias("rho"), F.col("n").cast("long").alias("n"))
+
+
+def _ranked_groups(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """g, v, k, rank: rows of a group with a value, and the value's mean rank among all rows."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    return counts.join(value_ranks(rows, value).select(F.col("value").alias("v"), "rank"), "v")
 
 
 def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     """One row: the Kruskal-Wallis H with the correction for ties, and the degrees of freedom."""
-    rank = F.rank().over(Window.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2.0
-    ranked = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"), rank.alias("r"))
-    per = ranked.groupBy("g").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("n").alias("N"), (F.count(F.lit(1)) - 1).alias("df"))
-    ties = ranked.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
-    n = F.col("N").cast("double")
+    per = _ranked_groups(rows, group, value).groupBy("g").agg(F.sum(F.col("k") * F.col("rank")).alias("s"), F.sum("k").alias("n"))
+    per = per.agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("n").alias("n_all"), (F.count(F.lit(1)) - 1).alias("df"))
+    t = F.col("n").cast("double")
+    ties = value_ranks(rows, value).agg(F.sum(F.pow(t, 3) - t).alias("ties"))
+    n = F.col("n_all").cast("double")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, 3) - n))
     return per.crossJoin(ties).select(F.round(h, 6).alias("h"), "df")
 
 
 def mann_whitney(rows: DataFrame, group: str, value: str, first, second) -> DataFrame:
     """One row: U of the first group against the second, and both sizes."""
-    two = rows.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
-    rank = F.rank().over(Window.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2.0
-    own = F.col(group) == first
-    s = two.select(group, rank.alias("r")).agg(F.sum(F.when(own, F.col("r"))).alias("s"), F.count_if(own).alias("n1"), F.count_if(~own).alias("n2"))
+    met = _ranked_groups(rows.where(F.col(group).isin(first, second)), group, value)
+    own = F.col("g") == first
+    s = met.agg(F.sum(F.when(own, F.col("k") * F.col("rank"))).alias("s"), F.sum(F.when(own, F.col("k")).otherwise(0)).alias("n1"), F.sum(F.when(~own, F.col("k")).otherwise(0)).alias("n2"))
     return s.select(F.round(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, 6).alias("u"), "n1", "n2")
 
 

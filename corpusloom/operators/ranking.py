@@ -9,6 +9,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _bucketed(rows: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+    """Adds __b, the number of approximate quantiles below the value: buckets in the order of the value, so that ranks over
+    a whole table need no window over all of it. The quantiles are one row."""
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)).alias("__cuts"))
+    below = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(value)))
+    return rows.join(F.broadcast(cuts)).withColumn("__b", below).drop("__cuts")
+
+
+def row_numbers(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds the place of each row, from 1, in the order of a numeric key."""
+    dealt = _bucketed(rows, key)
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))  # a row per bucket
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(key))
+    return dealt.join(F.broadcast(offsets), "__b").withColumn(name, inside + F.col("__o")).drop("__b", "__o")
+
+
+def value_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """value, n, rank: the mean rank of each distinct value among all rows, and how many rows have it."""
+    counts = _bucketed(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")), "value")
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.groupBy("__b").agg(F.sum("n").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))  # a row per bucket
+    upto = F.sum("n").over(Window.partitionBy("__b").orderBy("value"))
+    return counts.join(F.broadcast(offsets), "__b").select("value", "n", (F.col("__o") + upto - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
 def dominant(mixture: DataFrame) -> DataFrame:
     """The cluster of the greatest share of each paper."""
     order = Window.partitionBy("paper_id").orderBy(F.col("prop").desc(), "cluster")
@@ -89,8 +115,7 @@ def proportional_sample(assigned: DataFrame, key: str, target: int, seed: int =
 
 def every_nth(rows: DataFrame, key: str, n: int, block: int = 50_000) -> DataFrame:
     """Rows 0, n, 2n... of each block of rows in the order of the key."""
-    at = F.row_number().over(Window.orderBy(key)) - 1
-    return rows.withColumn("__at", at).where((F.col("__at") % block) % n == 0).drop("__at")
+    return row_numbers(rows, key, "__at").where(((F.col("__at") - 1) % block) % n == 0).drop("__at")
 
 
 def first_reaching(values: DataFrame, order: str, value: str, thresholds: Sequence[float]) -> DataFrame:

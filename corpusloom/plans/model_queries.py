@@ -203,7 +203,7 @@ def summary_fallback(spark, sf_dir):
 
 @query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil(count(*) OVER () / 7.0))::INT AS part FROM documents")
 def split_into_parts(spark, sf_dir):
-    return loops.parts(table(spark, sf_dir, "documents").select("doc_id"), 7, ["doc_id"])
+    return loops.parts(table(spark, sf_dir, "documents").select("doc_id"), 7, "doc_id")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS cluster, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

@@ -223,3 +223,13 @@ def test_assignment_is_the_best():
         got = metrics.assignment(cost)
         assert len(set(got)) == n
         assert sum(cost[i, j] for i, j in enumerate(got)) == min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))
+
+
+def test_ranks_over_whole_tables(spark):
+    values = [5, 1, 1, 3, 3, 3, 9, 7] * 40
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, v int").repartition(5)
+    ranks = {r.value: (r.n, r.rank) for r in ranking.value_ranks(rows, "v").collect()}
+    for v in set(values):
+        assert ranks[v] == (values.count(v), sum(x < v for x in values) + (values.count(v) + 1) / 2)
+    assert sorted((r.at, r.id) for r in ranking.row_numbers(rows, "id", "at").collect()) == [(i + 1, i) for i in range(320)]
+    assert ranking.row_numbers(rows.limit(0), "id", "at").count() == 0
