@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, pieces, span_hashes, utf8, word_spans
 
 #: Labelled rows that the model is fitted on, at most, of either class; the class weights restore the true rates.
-MOST_TOXIC, MOST_CLEAN = 4000, 6000
+MOST_TOXIC, MOST_CLEAN = 3000, 5000
 #: Entries of a lexicon, at most, and the bytes of a word's beginning in the lexicon of beginnings.
 LEXICON, PREFIX = 4096, 5
 FOLDS = 5
@@ -236,25 +236,38 @@ def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
     return x, v
 
 
+def _counts(column: pa.Array, y: np.ndarray, fold: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (kind 0) or beginnings (1) that three toxic texts or more hold, by hash, and for each fold the numbers of
+    toxic and of clean texts with them. Texts are read a few hundred at a time, and clean ones only for these words."""
+
+    def distinct(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(rows), 256):
+            part = rows[i : i + 256]
+            found = _words(*utf8(column.take(pa.array(part))))
+            for j, r in enumerate(part):
+                yield np.unique(found[kind][found[2][j] : found[2][j + 1]]), fold[r]
+
+    toxic = list(distinct(np.flatnonzero(y == 1)))
+    keys, n = np.unique(np.concatenate([k for k, _ in toxic]), return_counts=True)
+    keys = keys[n >= 3]
+    out = np.zeros((2 * FOLDS, len(keys)), np.int64)
+    for c, texts in ((0, toxic), (1, distinct(np.flatnonzero(y == 0)))):
+        for k, f in texts:
+            at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+            out[2 * f + c, at[keys[at] == k] if len(keys) else []] += 1
+    return keys, out
+
+
 class Model:
     """Lexicons, trees and calibration, fitted on a bounded sample; small enough to go with every task."""
 
-    def __init__(self, texts: list[str | None], y: np.ndarray, w: np.ndarray):
+    def __init__(self, column: pa.Array, y: np.ndarray, w: np.ndarray):
         self.rate = float((w * y).sum() / w.sum()) if len(y) else 0.0
         self.constant = len(set(y.tolist())) < 2 or int(min(y.sum(), len(y) - y.sum())) < 10
         if self.constant:
             return
-        column = pa.array(texts, pa.string())
-        data, offs = utf8(column)
-        hashes, begin, at, *_ = _words(data, offs)
         fold = np.arange(len(y)) % FOLDS  # the sample comes in hash order
-        doc = np.repeat(np.arange(len(y)), np.diff(at))
-        tables = []
-        for keys in (hashes, begin):
-            uniq, code = np.unique(keys, return_inverse=True)
-            once = np.unique(code.astype(np.int64) * len(y) + doc)  # a text counts once for a word
-            code, of = once // len(y), once % len(y)
-            tables.append((uniq, np.stack([np.bincount(code[(fold[of] == f) & (y[of] == c)], minlength=len(uniq)) for f in range(FOLDS) for c in (1, 0)])))
+        tables = [_counts(column, y, fold, kind) for kind in (0, 1)]
         classes = np.array([[((fold == f) & (y == c)).sum() for c in (1, 0)] for f in range(FOLDS)])
 
         def lexicons(without: int | None):
@@ -297,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id")
     part = lambda c, n: known.where((F.col("toxic") > 0) == bool(c)).orderBy(order, "doc_id").limit(n)
     ids = part(1, MOST_TOXIC).union(part(0, MOST_CLEAN))
-    ids = spark.createDataFrame(ids.toArrow()) if sizes else known.limit(0)  # at most 10,000 pairs of numbers
+    ids = spark.createDataFrame(ids.toArrow()) if sizes else known.limit(0)  # at most 8000 pairs of numbers
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     table = sample.orderBy(order, "doc_id").toArrow()
     y = np.asarray(table["toxic"]) > 0 if table.num_rows else np.zeros(0, bool)
@@ -306,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         if (y == c).any():
             w[y == c] = sizes[c] / (y == c).sum()
     w /= w.mean() if len(w) else 1
-    return Model(table["text"].to_pylist(), y.astype(int), w)
+    return Model(table["text"].combine_chunks(), y.astype(int), w)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
