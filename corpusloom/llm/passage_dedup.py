@@ -14,7 +14,7 @@ from .common import LOWER, mix, pieces, shingle_hashes, span_hashes, utf8, word_
 #: Words of the shortest passage, and of a shingle.
 WORDS, SHINGLE = 50, 5
 #: Hash functions whose windows are compared by their signature alone, and by the signature with the shingles around it.
-PLAIN, CLOSE = 2, 2
+PLAIN, CLOSE = 3, 1
 #: Shingles on either side of the least one that the second kind looks at.
 AROUND = 6
 #: Hash functions that must agree on a pair of documents, unless one of the second kind does.
@@ -194,30 +194,33 @@ def passages(docs: DataFrame) -> DataFrame:
     )  # seeds: at most the windows of one text
     enough = (F.bit_count("kinds") >= ENOUGH) | (F.col("kinds") >= 1 << PLAIN)
     pairs = pairs.where(enough).drop("kinds")
-    # one exchange of the texts, by doc, serves both sides
-    mine = pairs.join(rows.select(F.col("doc"), F.col("row").alias("r"), "text"), "doc").where("r = row").select("doc", "row", "of", "seeds", "text")
-    both = mine.join(rows.select(F.col("doc").alias("of"), F.col("text").alias("of_text")), "of").select("doc", "row", "of", "seeds", "text", "of_text")
+    # One exchange of the texts, by doc, serves both joins: they read the same columns, and whether a text is the one of
+    # the pair's row is looked at afterwards, for as a join condition it would ask for another exchange.
+    mine, other = rows.alias("mine"), rows.alias("other")
+    both = pairs.alias("p").join(mine, F.col("p.doc") == F.col("mine.doc")).select("p.doc", "p.row", "p.of", "p.seeds", F.col("mine.row").alias("mine_row"), F.col("mine.text").alias("mine_text"))
+    both = both.join(other, F.col("of") == F.col("other.doc")).select("p.doc", "p.row", "of", "seeds", "mine_row", "mine_text", F.col("other.row").alias("of_row"), F.col("other.text").alias("of_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, object] = {"text": None, "sh": None}
+        held: dict[tuple, np.ndarray] = {}  # the shingles of the last earlier document: pairs often come by it
 
-        def shingled(scalar) -> np.ndarray:
-            column = pa.array([scalar.as_py()], pa.string())
-            data, offs = utf8(column)
+        def shingled(text: pa.Scalar) -> np.ndarray:
+            data, offs = utf8(pa.array([text.as_py()], pa.string()))
             low = LOWER[data]
             starts, ends, at = word_spans(low, offs)
             return shingle_hashes(span_hashes(low, starts, ends), at, SHINGLE)[0]
 
         for batch in batches:
             made = []
+            doc, row, of, mine_row, of_row = (batch.column(c).to_pylist() for c in (0, 1, 2, 4, 6))
             for i in range(batch.num_rows):
-                doc, row, of = (batch.column(c)[i].as_py() for c in (0, 1, 2))
-                if held["text"] != (of, batch.column(5)[i]):
-                    held = {"text": (of, batch.column(5)[i]), "sh": shingled(batch.column(5)[i])}
-                a, b = shingled(batch.column(4)[i]), held["sh"]
+                if row[i] != mine_row[i]:
+                    continue
+                if (of[i], of_row[i]) not in held:
+                    held = {(of[i], of_row[i]): shingled(batch.column(7)[i])}
+                a, b = shingled(batch.column(5)[i]), held[of[i], of_row[i]]
                 seeds = np.sort(np.asarray(batch.column(3)[i].values))
                 for a0, a1, b0, b1, s in _passages(a, b, seeds):
-                    made.append((doc, row, a0, a1 - a0 + SHINGLE, of, b0, b1 - b0 + SHINGLE, s))
+                    made.append((doc[i], row[i], a0, a1 - a0 + SHINGLE, of[i], b0, b1 - b0 + SHINGLE, s))
             kinds = [pa.int64()] * 7 + [pa.float64()]
             cols = list(zip(*made, strict=True)) if made else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _PASSAGES.split(", ")])
