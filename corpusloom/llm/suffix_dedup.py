@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import _powers, mix, pieces, utf8
 
 #: Bytes of a match, and of the grams among which each match chooses its anchor.
-MATCH, GRAM = 100, 24
+MATCH, GRAM = 100, 18
 #: Occurrences of an anchor beyond which its windows are dealt out by a second anchor too.
 HOT = 20_000
 #: Bytes of spans whose suffixes are sorted at once.
@@ -111,15 +111,19 @@ def earlier_factor(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
+def _key(doc: int, row: int) -> int:
+    return row if doc == _LAST else doc
+
+
 def _judge(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """Spans (key, doc, row, start, bytes) in, repeated parts (doc, row, start, end) out."""
+    """Spans (key, doc, row, start, bytes) in, repeated parts (k, row, start, end) out."""
     out = []
     first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     rows.sort(key=lambda r: r[1:4])
     for key, doc, row, start, span in rows:
         own = first.setdefault((key, span), (doc, row, start))
         if own != (doc, row, start):
-            out.append((doc, row, start, start + len(span)))
+            out.append((_key(doc, row), row, start, start + len(span)))
     by: dict[int, list] = {}
     for (key, span), own in first.items():
         by.setdefault(key, []).append((own, span))
@@ -149,21 +153,23 @@ def _judge(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int,
         for a, b in zip(on.tolist(), off.tolist(), strict=True):
             i = int(np.searchsorted(edge, a, "right")) - 1
             (doc, row, s0), _ = some[i]
-            out.append((doc, row, s0 + a - int(edge[i]), s0 + b - int(edge[i]) + MATCH))
+            out.append((_key(doc, row), row, s0 + a - int(edge[i]), s0 + b - int(edge[i]) + MATCH))
     return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (the id; a null is the last), row (a hash of id and text, which tells rows of one id apart), text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
+    """k (the id, for a null a hash: what texts are joined by; ids in order pack well), doc (the id; a null is the last),
+    row (a hash of id and text, which tells rows of one id apart), text."""
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    row = F.xxhash64("doc_id", text)
+    return docs.select(F.when(own.isNull() | (own == _LAST), row).otherwise(own).alias("k"), F.coalesce(own, F.lit(_LAST)).alias("doc"), row.alias("row"), text.alias("text"))
 
 
 _PARTS = "key long, doc long, row long, start long, stop long, span binary"
 
 
 def repeated_parts(docs: DataFrame) -> DataFrame:
-    """doc, row, start, stop: bytes of documents covered by matches that start earlier. The parts may overlap."""
+    """k, row, start, stop: bytes of documents covered by matches that start earlier. The parts may overlap."""
     rows = _keyed(docs)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,28 +183,28 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
                 at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), p.column(0).take(pa.array(text[at])), pa.array(np.diff(np.append(at, len(h))))], names=["h", "row", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), p.column(0).take(pa.array(text[at])), pa.array(np.diff(np.append(at, len(h))))], names=["h", "k", "n"])
 
-    found = rows.select("row", "text").mapInArrow(grams, "h long, row long, n long")
+    found = rows.select("k", "text").mapInArrow(grams, "h long, k long, n long")
     counts = found.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1")
-    marks = found.select("h", "row").join(counts, "h").groupBy("row").agg(F.collect_set(F.struct("h", (F.col("total") > HOT).alias("hot"))).alias("marks"))  # at most one for each of the text's anchors
-    marks = marks.select("row", F.transform("marks", lambda m: m.h).alias("hs"), F.transform(F.filter("marks", lambda m: m.hot), lambda m: m.h).alias("hots"))
-    marked = rows.join(marks, "row")
+    hot = F.when(F.col("total") > HOT, F.col("h"))
+    marks = found.select("h", "k").join(counts, "h").groupBy("k").agg(F.collect_set("h").alias("hs"), F.collect_set(hot).alias("hots"))  # at most one for each of the text's anchors
+    marked = rows.join(marks, "k")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b, "text", 1 << 20):
-                data, offs = utf8(p.column(2))
+                data, offs = utf8(p.column(3))
                 text, lo, hi, h = _runs(data, offs)
                 edge = np.searchsorted(text, np.arange(p.num_rows + 1))
                 raw = data.tobytes()
                 made, seen = [], {}
-                docs_, rows_ = p.column(0).to_pylist(), p.column(1).to_pylist()
+                docs_, rows_ = p.column(1).to_pylist(), p.column(2).to_pylist()
                 for i in sorted(range(p.num_rows), key=lambda i: (docs_[i], rows_[i])):
                     k = slice(edge[i], edge[i + 1])
                     hs = h[k].view(np.int64)
-                    keep = np.isin(hs, np.asarray(p.column(3)[i].values))
-                    hot = np.isin(hs, np.asarray(p.column(4)[i].values))
+                    keep = np.isin(hs, np.asarray(p.column(4)[i].values))
+                    hot = np.isin(hs, np.asarray(p.column(5)[i].values))
                     for key, a, z, split in zip(hs[keep].tolist(), lo[k][keep].tolist(), hi[k][keep].tolist(), hot[keep].tolist(), strict=True):
                         for a2, z2, extra in _second(data, a, z) if split else ((a, z, 0),):
                             span = raw[a2 : z2 + MATCH]
@@ -217,7 +223,7 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts):
             cols = list(zip(*parts, strict=True)) if parts else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc", "row", "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["k", "row", "start", "stop"])
 
         held: list = []
         size = 0
@@ -225,7 +231,7 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
             parts = []
             for key, doc, row, start, stop, span in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if span is None:
-                    parts.append((doc, row, start, stop))
+                    parts.append((_key(doc, row), row, start, stop))
                     continue
                 if size > CHUNK and held[-1][0] != key:  # rows come by key
                     parts += _judge(held)
@@ -235,9 +241,9 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
             yield out(parts)
         yield out(_judge(held) if held else [])
 
-    made = marked.select("doc", "row", "text", "hs", "hots").mapInArrow(spans, _PARTS)
+    made = marked.select("k", "doc", "row", "text", "hs", "hots").mapInArrow(spans, _PARTS)
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return made.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(judge, "doc long, row long, start long, stop long")
+    return made.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(judge, "k long, row long, start long, stop long")
 
 
 def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -254,15 +260,16 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     each task sorts the suffixes of its spans. Equal spans collapse to the first before and after they travel; the
     windows of a very frequent anchor are dealt out by a second one, so no anchor's places meet in one task."""
     rows = _keyed(docs)
-    parts = repeated_parts(docs).groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("parts"))
-    met = rows.join(parts, "row", "left")
+    # a part is one number: its start, and its length (of a run of windows, below 2 ** 20)
+    part = F.shiftleft("start", 20).bitwiseOR(F.col("stop") - F.col("start"))
+    parts = repeated_parts(docs).groupBy("k").agg(F.collect_set(F.struct("row", part.alias("part"))).alias("parts"))  # of one id's texts
+    met = rows.join(parts, "k", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            text = b.column(1).cast(pa.binary())
-            parts = b.column(2)
+            rows_, text, parts = b.column(1).to_pylist(), b.column(2).cast(pa.binary()), b.column(3)
             for i, doc in enumerate(b.column(0).to_pylist()):
                 raw = text[i].as_buffer()
                 n = raw.size
@@ -270,7 +277,10 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 view = memoryview(raw)
                 if parts[i].is_valid:
                     v = parts[i].values
-                    s, e = np.asarray(v.field(0)), np.asarray(v.field(1))
+                    own = np.asarray(v.field(0)) == rows_[i]
+                    code = np.asarray(v.field(1))[own]
+                    s = code >> 20
+                    e = s + (code & 0xFFFFF)
                     order = np.argsort(s, kind="stable")
                     at = -1
                     for a, z in zip(s[order].tolist(), e[order].tolist(), strict=True):
@@ -292,4 +302,4 @@ def deduplicate(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             cols = list(zip(*made, strict=True)) if made else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
-    return met.select("doc", "text", "parts").mapInArrow(run, schema)
+    return met.select("doc", "row", "text", "parts").mapInArrow(run, schema)
