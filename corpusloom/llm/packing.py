@@ -21,7 +21,7 @@ LENGTH, END_ID = 2048, 0
 #: Pieces that one task packs, about. Each group leaves at most a few sequences part full.
 GROUP = 16_384
 #: Slots of the table of known chunks (a power of 2), which begins anew when half full.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 
 
 @dataclass(frozen=True)
