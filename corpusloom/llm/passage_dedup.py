@@ -107,61 +107,106 @@ def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _places(a: np.ndarray, b: np.ndarray, s: int, spots: np.ndarray) -> np.ndarray:
+    if len(spots) > 64:  # a shingle that b repeats: the runs of its first and last places, and of those near the seed
+        spots = np.unique(np.concatenate([spots[:16], spots[-16:], spots[np.argsort(np.abs(spots - s), kind="stable")[:32]]]))
+    return spots
+
+
+def _longest(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """The longest stretch of successive runs whose sets are alike, and the longest ones before and after it."""
+    size = WORDS - SHINGLE + 1
+    out: list[tuple[int, int, int, int, float]] = []
+    todo = [chain]
+    while todo:
+        c = todo.pop()
+        best: tuple[int, int, int, float] | None = None
+        a_end, b_end = np.array([r[1] for r in c]), np.array([r[1] + r[2] for r in c])
+        for i in range(len(c)):
+            a0, b0 = c[i][0], c[i][0] + c[i][2]
+            to_a, to_b = np.maximum.accumulate(a_end[i:]), np.maximum.accumulate(b_end[i:])
+            if to_a[-1] - a0 + 1 < size or (best and to_a[-1] - a0 < best[0]):
+                break
+            x, at_x = np.unique(a[a0 : to_a[-1] + 1], return_index=True)
+            y, at_y = np.unique(b[b0 : to_b[-1] + 1], return_index=True)
+            _, k, l = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+            in_x, in_y = np.searchsorted(to_a - a0, at_x), np.searchsorted(to_b - b0, at_y)  # the run by which each is in
+            count = lambda v: np.cumsum(np.bincount(v, minlength=len(to_a)))
+            both = count(np.maximum(in_x[k], in_y[l]))
+            union = count(in_x) + count(in_y) - both
+            good = np.flatnonzero((100 * both >= SIMILAR * union) & (to_a - a0 + 1 >= size) & (to_b - b0 + 1 >= size))
+            if len(good) and (not best or to_a[good[-1]] - a0 > best[0]):
+                g = int(good[-1])
+                best = (int(to_a[g]) - a0, i, i + g, both[g] / union[g])
+                found = (a0, int(to_a[g]), b0, int(to_b[g]), float(best[3]))
+        if best:
+            out.append(found)
+            todo += [part for part in (c[: best[1]], c[best[2] + 1 :]) if part]
+    return out
+
+
 def _passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two sequences of shingles: (first, last of a, first, last of b, Jaccard index). seeds:
     places in a whose shingle b has too.
 
-    From each seed the diagonal through it is read both ways for runs of equal shingles; runs at most GAP apart, on
-    diagonals at most GAP apart, make one passage; its sets decide, and where they differ too much, the longest run
-    alone may do."""
+    From each seed its places in b are looked at. Runs of equal shingles on the
+    diagonals at most GAP from that through seed and place, at most GAP apart, make one passage; its sets decide, and
+    where they differ too much, the longest stretches of successive runs whose sets are alike. What recurs elsewhere in
+    b lies on other diagonals and parts nothing."""
     size = WORDS - SHINGLE + 1
     order = np.argsort(b, kind="stable")
     sorted_b = b[order]
-    runs: set[tuple[int, int, int]] = set()
-    done: dict[int, list[tuple[int, int]]] = {}
-    for s in seeds.tolist():
-        lo, hi = np.searchsorted(sorted_b, a[s], "left"), np.searchsorted(sorted_b, a[s], "right")
-        spots = order[lo:hi]
-        if len(spots) > 64:  # a shingle that b repeats: the runs of its first and last places, and of those near the seed
-            spots = np.unique(np.concatenate([spots[:16], spots[-16:], spots[np.argsort(np.abs(spots - s), kind="stable")[:32]]]))
-        for t in spots.tolist():
-            d = t - s
-            if any(x <= s <= y for x, y in done.get(d, ())):
-                continue
+    lines: dict[int, list[tuple[int, int, int]]] = {}
+    out: dict[tuple[int, int, int, int], float] = {}
+
+    def line(d: int) -> list[tuple[int, int, int]]:
+        if d not in lines:
             i0, i1 = max(0, -d), min(len(a), len(b) - d)
-            same = a[i0:i1] == b[i0 + d : i1 + d]
+            same = a[i0:i1] == b[i0 + d : i1 + d] if i1 > i0 else np.zeros(0, bool)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-            for x, y in zip((edge[::2] + i0).tolist(), (edge[1::2] + i0 - 1).tolist(), strict=True):
-                runs.add((x, y, d))
-            done.setdefault(d, []).append((i0, i1 - 1))
-    out: list[tuple[int, int, int, int, float]] = []
-    chain: list[tuple[int, int, int]] = []
-
-    def judge() -> None:
-        if not chain:
-            return
-        options = [chain]
-        if len(chain) > 1:
-            options += [[r] for r in sorted(chain, key=lambda r: r[0] - r[1])]
-        for c in options:
-            a0, a1 = c[0][0], max(r[1] for r in c)
-            b0, b1 = min(r[0] + r[2] for r in c), max(r[1] + r[2] for r in c)
-            if min(a1 - a0, b1 - b0) + 1 < size:
+            lines[d] = [(x, y, d) for x, y in zip((edge[::2] + i0).tolist(), (edge[1::2] + i0 - 1).tolist(), strict=True)]
+        return lines[d]
+
+    chains: dict[int, list[list[tuple[int, int, int]]]] = {}
+
+    def band(d: int) -> list[list[tuple[int, int, int]]]:
+        if d not in chains:
+            made: list[list[tuple[int, int, int]]] = []
+            last = 0
+            for r in sorted(r for e in range(d - GAP, d + GAP + 1) for r in line(e)):
+                if made and r[0] <= last + GAP + 1:
+                    made[-1].append(r)
+                    last = max(last, r[1])
+                else:
+                    made.append([r])
+                    last = r[1]
+            chains[d] = made
+        return chains[d]
+
+    judged: set[tuple[tuple[int, int, int], ...]] = set()
+    for s in seeds.tolist():
+        lo, hi = np.searchsorted(sorted_b, a[s], "left"), np.searchsorted(sorted_b, a[s], "right")
+        for t in _places(a, b, s, order[lo:hi]).tolist():
+            if any(x <= s <= y and z <= t <= w for x, y, z, w in out):
                 continue
-            x, y = np.unique(a[a0 : a1 + 1]), np.unique(b[b0 : b1 + 1])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= SIMILAR * (len(x) + len(y) - both):
-                out.append((a0, a1, b0, b1, both / (len(x) + len(y) - both)))
-                if c is chain:
-                    return
-
-    for r in sorted(runs):
-        if chain and (r[0] > chain[-1][1] + GAP + 1 or abs(r[2] - chain[-1][2]) > GAP):
-            judge()
-            chain = []
-        chain.append(r)
-    judge()
-    return out
+            for chain in band(t - s):
+                if chain[0][0] > s:
+                    break
+                if max(r[1] for r in chain) < s or tuple(chain) in judged:
+                    continue
+                judged.add(tuple(chain))
+                a0, a1 = chain[0][0], max(r[1] for r in chain)
+                b0, b1 = min(r[0] + r[2] for r in chain), max(r[1] + r[2] for r in chain)
+                if min(a1 - a0, b1 - b0) + 1 < size:
+                    continue
+                x, y = np.unique(a[a0 : a1 + 1]), np.unique(b[b0 : b1 + 1])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= SIMILAR * (len(x) + len(y) - both):
+                    out[a0, a1, b0, b1] = both / (len(x) + len(y) - both)
+                    continue
+                for *found, share in _longest(a, b, chain):
+                    out[tuple(found)] = share
+    return [(*k, v) for k, v in sorted(out.items())]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -83,3 +83,28 @@ def test_edges(spark):
     assert got == {(None, 1), (5, 4)}
     left = {r.row: r.text for r in pd_.remove_passages(df).collect()}
     assert left["a"] == left["b"] == t and left["c"] == "" and left["d"] is None and left["g"].strip() == ""
+
+
+def found(a, b, seeds):
+    import pyarrow as pa
+
+    from corpusloom.llm import common
+
+    x, y = (common.shingles(pa.array([" ".join(t)]))[0] for t in (a, b))
+    seeds = [i for i in seeds if x[i] in set(y.tolist())]
+    return [r[:4] for r in pd_._passages(x, y, np.array(seeds))]
+
+
+def test_what_recurs_elsewhere_parts_no_passage():
+    p = [f"p{i}" for i in range(70)]
+    q = p[:35] + ["changed"] + p[36:]
+    far = [f"f{i}" for i in range(100)]
+    for again in ([], p[20:28]):  # in the earlier document, after the passage
+        assert (0, 65, 0, 65) in found(q, p + far + again, [3, 22, 50])
+
+
+def test_a_good_stretch_beside_poor_ones():
+    p = [f"p{i}" for i in range(160)]
+    q = p[:40] + ["changed"] + p[41:80] + [w for i in range(80, 160, 8) for w in (*p[i : i + 6], f"n{i}", f"m{i}")]  # then two words in eight differ
+    got = found(q, p, [20, 60])
+    assert got and all(r[0] == 0 and r[1] >= 75 for r in got)
