@@ -23,6 +23,9 @@ ENOUGH = 2
 SIMILAR = 75
 #: Shingles without a match that a passage may hold in a row, and the shift between its parts.
 GAP = 12
+#: Shingles on either side of a shared one within which every passage through it has WORDS words at least, and how many
+#: of them a passage of up to four times that length shares at least (a seventh of it may differ).
+REACH, SHARED = WORDS - SHINGLE, 20
 _LAST = (1 << 63) - 1
 
 
@@ -108,9 +111,12 @@ def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _places(a: np.ndarray, b: np.ndarray, s: int, spots: np.ndarray) -> np.ndarray:
-    if len(spots) > 64:  # a shingle that b repeats: the runs of its first and last places, and of those near the seed
-        spots = np.unique(np.concatenate([spots[:16], spots[-16:], spots[np.argsort(np.abs(spots - s), kind="stable")[:32]]]))
-    return spots
+    """Those of the places of a[s] in b around which enough of what stands around s occurs too, best first."""
+    if len(spots) < 2:
+        return spots
+    around = np.concatenate([[0], np.cumsum(np.isin(b, a[max(0, s - REACH) : s + REACH + 1]))])
+    n = around[np.minimum(spots + REACH + 1, len(b))] - around[np.maximum(spots - REACH, 0)]
+    return spots[np.argsort(-n, kind="stable")][: int((n >= SHARED).sum())]
 
 
 def _longest(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
@@ -149,7 +155,7 @@ def _passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> list[tuple[int
     """Near-duplicate passages of two sequences of shingles: (first, last of a, first, last of b, Jaccard index). seeds:
     places in a whose shingle b has too.
 
-    From each seed its places in b are looked at. Runs of equal shingles on the
+    From each seed all its places in b are looked at, around which enough is alike. Runs of equal shingles on the
     diagonals at most GAP from that through seed and place, at most GAP apart, make one passage; its sets decide, and
     where they differ too much, the longest stretches of successive runs whose sets are alike. What recurs elsewhere in
     b lies on other diagonals and parts nothing."""

@@ -108,3 +108,10 @@ def test_a_good_stretch_beside_poor_ones():
     q = p[:40] + ["changed"] + p[41:80] + [w for i in range(80, 160, 8) for w in (*p[i : i + 6], f"n{i}", f"m{i}")]  # then two words in eight differ
     got = found(q, p, [20, 60])
     assert got and all(r[0] == 0 and r[1] >= 75 for r in got)
+
+
+def test_every_place_of_a_common_shingle_is_tried():
+    head = "this is the common header of every single section".split()
+    sections = [[*head, *(f"s{k}w{i}" for i in range(55))] for k in range(300)]
+    for k in (0, 20, 150, 280):
+        assert found(sections[k], [w for x in sections for w in x], [2])
