@@ -8,17 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import LOWER, mix, pieces, shingle_hashes, span_hashes, utf8, word_spans
+from .common import LOWER, Staged, mix, pieces, shingle_hashes, shingles, span_hashes, utf8, word_spans
+from .common import _powers as powers
 
 #: Words of the shortest passage, and of a shingle.
 WORDS, SHINGLE = 50, 5
-#: Hash functions whose windows are compared by their signature alone, and by the signature with the shingles around it.
-PLAIN, CLOSE = 3, 1
-#: Shingles on either side of the least one that the second kind looks at.
-AROUND = 6
-#: Hash functions that must agree on a pair of documents, unless one of the second kind does.
-ENOUGH = 2
+#: Hash functions. One that agrees on a pair makes it a candidate, so a pair at 0.75 is missed with 0.25 ** 4 = 0.4 %.
+FUNCTIONS = 4
+#: Holders of a signature in different surroundings that meet in one group, about; more are dealt to pairs of blocks.
+BLOCK = 128
 #: Jaccard index of the shingle sets from which passages are near-duplicates, in hundredths.
 SIMILAR = 75
 #: Shingles without a match that a passage may hold in a row, and the shift between its parts.
@@ -68,9 +68,10 @@ def compact_windows(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, n
     return left[keep], at[keep], right[keep]
 
 
-def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place (in shingles) and key of every window of all hash functions. The low bits of a key are the
-    number of its function."""
+def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place (in shingles), key and surroundings of every window of all hash functions. The key is of the
+    function and the least shingle; the surroundings are a hash of the key, of all shingles within REACH of that one and
+    of where the text ends among them, so places of equal surroundings repeat WORDS words at least."""
     data, offs = utf8(column)
     low = LOWER[data]
     starts, ends, at = word_spans(low, offs)
@@ -83,7 +84,7 @@ def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = long[owner]
     sh, owner = sh[keep], owner[keep]
     if not len(sh):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     place = np.arange(len(keep))[keep] - to[owner]
     # a zero before every text
     texts = np.flatnonzero(long)
@@ -91,32 +92,60 @@ def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     spread = np.zeros(len(sh) + len(texts), np.uint32)
     back = np.zeros(len(spread), np.int64)
     back[spot] = np.arange(len(sh))
+    up, down = powers(len(sh) + 1)
+    total = np.zeros(len(sh) + 1, np.uint64)
+    np.cumsum(sh * up[: len(sh)], out=total[1:])
     out = []
-    padded = np.concatenate([np.zeros(AROUND, np.uint64), sh, np.zeros(AROUND, np.uint64)])
-    for k in range(PLAIN + CLOSE):
+    for k in range(FUNCTIONS):
         spread[spot] = np.maximum(mix(sh ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) >> np.uint64(32), 1).astype(np.uint32)
         _, c, _ = compact_windows(spread, size)
         c = back[c]
-        key = sh[c]
-        if k >= PLAIN:
-            key = np.zeros(len(c), np.uint64)
-            for j in range(-AROUND, AROUND + 1):
-                there = c + j
-                same = (there >= 0) & (there < len(sh))
-                same[same] = owner[there[same]] == owner[c[same]]
-                key = mix(key + np.where(same, padded[there + AROUND], np.uint64(0)))
-        key = (mix(key + np.uint64(k)) & ~np.uint64(7)) | np.uint64(k)
-        out.append((owner[c], place[c], key.view(np.int64)))
+        key = mix(sh[c] + np.uint64(k))
+        before = np.minimum(place[c], REACH)
+        lo, hi = c - before, c + 1 + np.minimum(n[owner[c]] - 1 - place[c], REACH)
+        around = mix(mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)) + key + before.astype(np.uint64))
+        out.append((owner[c], place[c], key.view(np.int64), around.view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _places(a: np.ndarray, b: np.ndarray, s: int, spots: np.ndarray) -> np.ndarray:
-    """Those of the places of a[s] in b around which enough of what stands around s occurs too, best first."""
+def _surroundings(sh: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """31 bits of every shingle within REACH of the places c; beyond the text a number below zero of its own."""
+    at = c[:, None] + np.arange(-REACH, REACH + 1)
+    out = np.broadcast_to(-1 - np.arange(2 * REACH + 1, dtype=np.int32), at.shape).copy()
+    there = (at >= 0) & (at < len(sh))
+    out[there] = (sh[at[there]] >> np.uint64(33)).astype(np.int32)
+    return out
+
+
+def _compare(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row of two arrays of surroundings: whether they share SHARED shingles or repeat any of their own (for few
+    different ones may make a passage then), and whether they certainly hold a passage in common: WORDS words through the middle that are equal, or are so at both ends and differ in one word at
+    most where nothing repeats."""
+    size = WORDS - SHINGLE + 1
+    same = (a == b) & (a >= 0)
+    sums = np.zeros((len(a), same.shape[1] + 1), np.int16)
+    np.cumsum(same, axis=1, out=sums[:, 1:])
+    repeats = lambda x: (np.diff(np.sort(x, axis=1), axis=1) == 0).sum(1)
+    own = repeats(a), repeats(b)
+    shared = repeats(np.concatenate([a, b], 1)) - own[0] - own[1] - ((a == b) & (a < 0)).sum(1)
+    alike = sums[:, size:] - sums[:, :-size]
+    good = (alike >= size - SHINGLE) & same[:, : REACH + 1] & same[:, REACH:]
+    plain = (own[0] == 0) & (own[1] == 0)
+    return (shared >= SHARED) | ~plain, (good & (plain[:, None] | (alike == size))).any(1)
+
+
+def _places(a: np.ndarray, b: np.ndarray, s: int, spots: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Those of the places of a[s] in b around which enough of what stands around s occurs too, best first. Where either
+    side repeats shingles, all are kept. again: running counts of the places of b that repeat one shortly before."""
     if len(spots) < 2:
         return spots
-    around = np.concatenate([[0], np.cumsum(np.isin(b, a[max(0, s - REACH) : s + REACH + 1]))])
-    n = around[np.minimum(spots + REACH + 1, len(b))] - around[np.maximum(spots - REACH, 0)]
-    return spots[np.argsort(-n, kind="stable")][: int((n >= SHARED).sum())]
+    around = a[max(0, s - REACH) : s + REACH + 1]
+    sums = np.concatenate([[0], np.cumsum(np.isin(b, around))])
+    lo, hi = np.maximum(spots - REACH, 0), np.minimum(spots + REACH + 1, len(b))
+    n = sums[hi] - sums[lo]
+    keep = (n >= SHARED) | (again[hi] > again[lo]) | (len(np.unique(around)) < len(around))
+    order = np.argsort(-n, kind="stable")
+    return spots[order[keep[order]]]
 
 
 def _longest(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
@@ -162,6 +191,9 @@ def _passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> list[tuple[int
     size = WORDS - SHINGLE + 1
     order = np.argsort(b, kind="stable")
     sorted_b = b[order]
+    again = np.zeros(len(b) + 1, np.int64)
+    again[order[1:][(sorted_b[1:] == sorted_b[:-1]) & (np.diff(order) <= 2 * REACH)] + 1] = 1
+    again = np.cumsum(again)
     lines: dict[int, list[tuple[int, int, int]]] = {}
     out: dict[tuple[int, int, int, int], float] = {}
 
@@ -192,7 +224,7 @@ def _passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> list[tuple[int
     judged: set[tuple[tuple[int, int, int], ...]] = set()
     for s in seeds.tolist():
         lo, hi = np.searchsorted(sorted_b, a[s], "left"), np.searchsorted(sorted_b, a[s], "right")
-        for t in _places(a, b, s, order[lo:hi]).tolist():
+        for t in _places(a, b, s, order[lo:hi], again).tolist():
             if any(x <= s <= y and z <= t <= w for x, y, z, w in out):
                 continue
             for chain in band(t - s):
@@ -220,6 +252,79 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
 
 
+def _meetings(firsts: DataFrame, rows: DataFrame) -> DataFrame:
+    """x, own, of: classes (x, g, doc, row, c, n: the classes of g) with each earlier document that holds the same
+    signature in surroundings which may be of a common passage. Where such a passage is certain, one document does.
+
+    The classes of a signature are dealt by a hash to blocks of about BLOCK, and every two blocks meet in a group, so a
+    long list costs the square of its length in comparisons, but no task grows with it."""
+    lists = firsts.groupBy("doc", "row").agg(F.collect_list(F.struct("x", "g", "c", "n")).alias("list")).alias("l")  # windows of one text
+    texts = lists.join(rows.alias("t"), F.col("l.doc") == F.col("t.doc")).select("l.doc", "l.row", "list", F.col("t.row").alias("text_row"), "text")
+
+    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"x": pa.int64(), "g": pa.int64(), "n": pa.int64()}
+        for batch in batches:
+            row, other = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            for i in range(batch.num_rows):
+                if row[i] != other[i]:
+                    continue
+                part = batch.column(2)[i].values.flatten()  # x, g, c, n
+                sh = shingles(pa.array([batch.column(4)[i].as_py()], pa.string()), SHINGLE)[0]
+                near = _surroundings(sh, np.asarray(part[2]).astype(np.int64))
+                cols = [part[0], part[1], pa.array(np.full(len(near), batch.column(0)[i].as_py())), part[3].cast(kinds["n"]), pa.array([r.tobytes() for r in near], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["x", "g", "doc", "n", "near"])
+
+    near = texts.mapInArrow(surround, "x long, g long, doc long, n long, near binary")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    near = near.withColumn("b", F.pmod(F.col("x"), blocks).cast("int"))
+    near = near.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = near.groupBy("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(F.collect_list(F.struct("x", "doc", "b", "near")).alias("list"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            to = np.asarray(lists.offsets).astype(np.int64)
+            x, doc, b, near = lists.values.flatten()
+            x, doc, b = (np.asarray(v).astype(np.int64) for v in (x, doc, b))
+            near = np.frombuffer(b"".join(near.to_pylist()), np.int32).reshape(len(x), 2 * REACH + 1)
+            across = np.asarray(batch.column(1)) != np.asarray(batch.column(2))
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            todo: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+
+            def judge(todo=todo, out=out, doc=doc, near=near) -> None:
+                if not todo:
+                    return
+                p, q = (np.concatenate(v) for v in zip(*todo, strict=True))
+                todo.clear()
+                may, sure = np.zeros(len(p), bool), np.zeros(len(p), bool)
+                for k in range(0, len(p), 1 << 13):
+                    may[k : k + (1 << 13)], sure[k : k + (1 << 13)] = _compare(near[p[k : k + (1 << 13)]], near[q[k : k + (1 << 13)]])
+                settled = np.unique(p[sure])
+                order = np.lexsort((doc[q[sure]], p[sure]))
+                one, first = np.unique(p[sure][order], return_index=True)
+                out.append((one, q[sure][order][first]))
+                rest = may & ~np.isin(p, settled)
+                out.append((p[rest], q[rest]))
+
+            for k in range(batch.num_rows):
+                own = np.arange(to[k], to[k + 1])
+                p, q = (v.ravel() for v in np.meshgrid(own, own, indexing="ij"))
+                ok = doc[p] > doc[q]
+                if across[k]:
+                    ok &= b[p] != b[q]
+                todo.append((p[ok], q[ok]))
+                size += int(ok.sum())
+                if size > 1 << 16:
+                    judge()
+                    size = 0
+            judge()
+            p, q = (np.concatenate(v) if out else np.zeros(0, np.int64) for v in (zip(*out, strict=True) if out else ((), ())))
+            yield pa.RecordBatch.from_arrays([pa.array(x[p]), pa.array(doc[p]), pa.array(doc[q])], names=["x", "own", "of"])
+
+    return dealt.mapInArrow(meet, "x long, own long, of long").distinct()
+
+
 _PASSAGES = "doc long, row long, start long, n_words long, of long, of_start long, of_words long, similarity double"
 
 
@@ -231,20 +336,24 @@ def passages(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b, "text", 1 << 20):
-                text, place, key = _signatures(p.column(2))
+                text, place, key, around = _signatures(p.column(2))
                 if len(text):
                     text = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), p.column(0).take(text), p.column(1).take(text), pa.array(place, pa.int32())], names=["g", "doc", "row", "c"])
-
-    found = rows.mapInArrow(sign, "g long, doc long, row long, c int")
-    # the document of the smallest id stands for all that share a signature, so its links are as many as its holders
-    first = found.groupBy("g").agg(F.min("doc").alias("of"), F.max("doc").alias("other")).where("of < other").select("g", "of")
-    shared = found.join(first, "g").where("doc > of")
-    pairs = shared.groupBy("doc", "row", "of").agg(
-        F.collect_set("c").alias("seeds"), F.expr("bit_or(shiftleft(1, cast(g & 7 AS INT)))").alias("kinds")
-    )  # seeds: at most the windows of one text
-    enough = (F.bit_count("kinds") >= ENOUGH) | (F.col("kinds") >= 1 << PLAIN)
-    pairs = pairs.where(enough).drop("kinds")
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(around), p.column(0).take(text), p.column(1).take(text), pa.array(place, pa.int32())], names=["g", "x", "doc", "row", "c"])
+
+    found = rows.mapInArrow(sign, "g long, x long, doc long, row long, c int")
+    # Places of equal surroundings make a class. The document of the smallest id stands for it: that the others repeat
+    # it is certain, so their links are as many as they are. The first of every class meets those of all other classes
+    # of its signature.
+    classes = found.groupBy("x").agg(F.first("g").alias("g"), F.min(F.struct("doc", "row", "c")).alias("m"), F.max("doc").alias("other"))
+    classes = classes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1 OR m.doc < other")
+    kept = Staged(classes.select("x", "g", "m.*", "other", "n"), "classes").df
+    met = _meetings(kept.where("n > 1"), rows)
+    null = F.lit(None).cast("long")
+    targets = kept.where("doc < other").select("x", F.col("doc").alias("of"), null.alias("own")).union(met.select("x", "of", "own"))
+    # the places of a class in the document that stands for it have the partners of its first place
+    shared = found.drop("g").join(targets, "x").where("IF(own IS NULL, doc > of, doc = own)")
+    pairs = shared.groupBy("doc", "row", "of").agg(F.collect_set("c").alias("seeds"))  # at most the windows of one text
     # One exchange of the texts, by doc, serves both joins: they read the same columns, and whether a text is the one of
     # the pair's row is looked at afterwards, for as a join condition it would ask for another exchange.
     mine, other = rows.alias("mine"), rows.alias("other")
@@ -284,7 +393,8 @@ def near_passages(docs: DataFrame) -> DataFrame:
     that nearly repeats one of a row with a smaller doc_id (places in words parted by ASCII white space, from 0;
     similarity: the Jaccard index of the sets of 5-word shingles, 0.75 or more).
 
-    A passage that many rows share is linked from each to the first, so the links are as many as the rows. Null, empty
+    A passage that many rows share is linked from each to the first where it stands in equal surroundings, so the links
+    are as many as the rows; in different surroundings each is linked to those it may nearly repeat. Null, empty
     and shorter texts have no passages. Rows of one doc_id are not compared with each other; equal rows give their
     passages each; a null doc_id comes after all others and is returned as null. Extra columns are ignored; an empty
     table gives an empty result."""

@@ -115,3 +115,27 @@ def test_every_place_of_a_common_shingle_is_tried():
     sections = [[*head, *(f"s{k}w{i}" for i in range(55))] for k in range(300)]
     for k in (0, 20, 150, 280):
         assert found(sections[k], [w for x in sections for w in x], [2])
+
+
+def test_an_earlier_holder_of_signatures_hides_no_pair(spark):
+    """Passages with one word changed (B) and one more (C): C is near B, but not near the first text."""
+    rows, want = [], set()
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for k in range(40):
+        p = [word() for _ in range(60)]
+        q = [*p[:20], word(), *p[21:]]
+        r = [*q[:40], word(), *q[41:]]
+        for i, t in enumerate((p, q, r)):
+            rows.append((10 * k + i, " ".join([*(word() for _ in range(30)), *t, *(word() for _ in range(30))])))
+        want |= {(10 * k + 1, 10 * k), (10 * k + 2, 10 * k + 1)}
+    got = pd_.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert want <= {(r.doc_id, r.of_doc_id) for r in got}
+
+
+def test_long_lists_meet_in_blocks(spark, monkeypatch):
+    rows, _, _ = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(pd_.near_passages(df).collect())
+    monkeypatch.setattr(pd_, "BLOCK", 2)
+    assert {r.doc_id for r in pd_.near_passages(df).collect()} == {r.doc_id for r in whole}
