@@ -15,8 +15,8 @@ from .common import _powers as powers
 
 #: Words of the shortest passage, and of a shingle.
 WORDS, SHINGLE = 50, 5
-#: Hash functions. One that agrees on a pair makes it a candidate, so a pair at 0.75 is missed with 0.25 ** 4 = 0.4 %.
-FUNCTIONS = 4
+#: Hash functions. One that agrees on a pair makes it a candidate, so a pair at 0.75 is missed with 0.25 ** 8 = 1.5e-5.
+FUNCTIONS = 8
 #: Holders of a signature in different surroundings that meet in one group, about; more are dealt to pairs of blocks.
 BLOCK = 128
 #: Jaccard index of the shingle sets from which passages are near-duplicates, in hundredths.

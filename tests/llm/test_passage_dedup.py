@@ -133,6 +133,19 @@ def test_an_earlier_holder_of_signatures_hides_no_pair(spark):
     assert want <= {(r.doc_id, r.of_doc_id) for r in got}
 
 
+def test_passages_at_the_threshold_are_found(spark):
+    """Passages of 50 words with one word in the middle changed (0.8), in texts of their own."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for k in range(150):
+        p = [word() for _ in range(50)]
+        for i, t in enumerate((p, [*p[:25], word(), *p[26:]])):
+            rows.append((2 * k + i, " ".join([*(word() for _ in range(20)), *t, *(word() for _ in range(20))])))
+    got = pd_.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} == {(2 * k + 1, 2 * k) for k in range(150)}
+
+
 def test_long_lists_meet_in_blocks(spark, monkeypatch):
     rows, _, _ = corpus(6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
