@@ -21,6 +21,19 @@ def test_ids_are_those_of_tokenizers():
             assert ids[to[i] : to[i + 1]].tolist() == raw.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    raw, fast = Tokenizer.from_file(packing.tokenizer_path()), packing.ChunkTokenizer(packing.tokenizer_path())
+    end = "<|endoftext|>"
+    texts = [f"see {end} here", end, f" {end}", f"a  {end}  b", f"{end}{end} {end}", f"a\n {end}\n b", "a <|endof", "text|> b", f"x{end}y it{end}'s", "a<|endoftext |>"]
+    texts += ["".join(rng.choice([*" a\nB'é\ts", "  ", end, "<|", "endoftext|>", "\u00a0"]) for _ in range(rng.randrange(1, 20))) for _ in range(2000)]
+    ids, to = fast(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[to[i] : to[i + 1]].tolist() == raw.encode(t, add_special_tokens=False).ids
+
+
 def test_a_full_table_begins_anew(monkeypatch):
     import pyarrow as pa
 
