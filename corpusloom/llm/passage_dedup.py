@@ -27,6 +27,8 @@ GAP = 12
 #: of them a passage of up to four times that length shares at least (a seventh of it may differ).
 REACH, SHARED = WORDS - SHINGLE, 20
 _LAST = (1 << 63) - 1
+#: Bits of a row's number that travel with its windows: they tell rows of one doc_id apart.
+_LOW = (1 << 24) - 1
 
 
 def compact_windows(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,7 +268,7 @@ def _meetings(firsts: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             row, other = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             for i in range(batch.num_rows):
-                if row[i] != other[i]:
+                if row[i] != other[i] & _LOW:
                     continue
                 part = batch.column(2)[i].values.flatten()  # x, g, c, n
                 sh = shingles(pa.array([batch.column(4)[i].as_py()], pa.string()), SHINGLE)[0]
@@ -341,18 +343,25 @@ def passages(docs: DataFrame) -> DataFrame:
                     text = pa.array(text)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(around), p.column(0).take(text), p.column(1).take(text), pa.array(place, pa.int32())], names=["g", "x", "doc", "row", "c"])
 
-    found = rows.mapInArrow(sign, "g long, x long, doc long, row long, c int")
+    found = rows.select("doc", F.col("row").bitwiseAND(_LOW), "text").mapInArrow(sign, "g long, x long, doc long, row long, c int")
     # Places of equal surroundings make a class. The document of the smallest id stands for it: that the others repeat
     # it is certain, so their links are as many as they are. The first of every class meets those of all other classes
-    # of its signature.
-    classes = found.groupBy("x").agg(F.first("g").alias("g"), F.min(F.struct("doc", "row", "c")).alias("m"), F.max("doc").alias("other"))
-    classes = classes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("n > 1 OR m.doc < other")
+    # of its signature. Most signatures have one class, of which no more than the signature need travel.
+    part = F.col("x").bitwiseAND((1 << 31) - 1)
+    keys = found.groupBy("g").agg(F.min("doc").alias("of"), F.max("doc").alias("other"), F.min(part).alias("lo"), F.max(part).alias("hi"))
+    keys = keys.where("of < other").select("g", "of", F.expr("lo < hi").alias("mixed"))
+    held = found.join(keys, "g").where("mixed OR doc > of").select("g", F.expr("IF(mixed, x, NULL)").alias("x"), "doc", "row", "c", F.expr("IF(mixed, NULL, of)").alias("of"))
+    held = Staged(held, "held").df
+    mixed = held.where("x IS NOT NULL").drop("of")
+    classes = mixed.groupBy("x").agg(F.first("g").alias("g"), F.min(F.struct("doc", "row", "c")).alias("m"), F.max("doc").alias("other"))
+    classes = classes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g")))
     kept = Staged(classes.select("x", "g", "m.*", "other", "n"), "classes").df
     met = _meetings(kept.where("n > 1"), rows)
     null = F.lit(None).cast("long")
     targets = kept.where("doc < other").select("x", F.col("doc").alias("of"), null.alias("own")).union(met.select("x", "of", "own"))
     # the places of a class in the document that stands for it have the partners of its first place
-    shared = found.drop("g").join(targets, "x").where("IF(own IS NULL, doc > of, doc = own)")
+    shared = mixed.drop("g").join(targets, "x").where("IF(own IS NULL, doc > of, doc = own)").select("doc", "row", "c", "of")
+    shared = shared.union(held.where("x IS NULL").select("doc", "row", "c", "of"))
     pairs = shared.groupBy("doc", "row", "of").agg(F.collect_set("c").alias("seeds"))  # at most the windows of one text
     # One exchange of the texts, by doc, serves both joins: they read the same columns, and whether a text is the one of
     # the pair's row is looked at afterwards, for as a join condition it would ask for another exchange.
@@ -373,14 +382,15 @@ def passages(docs: DataFrame) -> DataFrame:
             made = []
             doc, row, of, mine_row, of_row = (batch.column(c).to_pylist() for c in (0, 1, 2, 4, 6))
             for i in range(batch.num_rows):
-                if row[i] != mine_row[i]:
+                if row[i] != mine_row[i] & _LOW:
                     continue
                 if (of[i], of_row[i]) not in held:
                     held = {(of[i], of_row[i]): shingled(batch.column(7)[i])}
                 a, b = shingled(batch.column(5)[i]), held[of[i], of_row[i]]
                 seeds = np.sort(np.asarray(batch.column(3)[i].values))
+                seeds = seeds[seeds < len(a)]
                 for a0, a1, b0, b1, s in _passages(a, b, seeds):
-                    made.append((doc[i], row[i], a0, a1 - a0 + SHINGLE, of[i], b0, b1 - b0 + SHINGLE, s))
+                    made.append((doc[i], mine_row[i], a0, a1 - a0 + SHINGLE, of[i], b0, b1 - b0 + SHINGLE, s))
             kinds = [pa.int64()] * 7 + [pa.float64()]
             cols = list(zip(*made, strict=True)) if made else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _PASSAGES.split(", ")])
