@@ -110,29 +110,32 @@ def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _surroundings(sh: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """31 bits of every shingle within REACH of the places c; beyond the text a number below zero of its own."""
+def _surroundings(sh: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """15 bits of every shingle within REACH of the places c, beyond the text a number below zero of its own; and whether
+    any of those shingles stands there more than once."""
     at = c[:, None] + np.arange(-REACH, REACH + 1)
-    out = np.broadcast_to(-1 - np.arange(2 * REACH + 1, dtype=np.int32), at.shape).copy()
     there = (at >= 0) & (at < len(sh))
-    out[there] = (sh[at[there]] >> np.uint64(33)).astype(np.int32)
-    return out
-
-
-def _compare(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row by row of two arrays of surroundings: whether they share SHARED shingles or repeat any of their own (for few
-    different ones may make a passage then), and whether they certainly hold a passage in common: WORDS words through the middle that are equal, or are so at both ends and differ in one word at
+    whole = np.broadcast_to(np.arange(at.shape[1], dtype=np.uint64), at.shape).copy()
+    whole[there] = sh[at[there]]
+    out = np.broadcast_to(-1 - np.arange(at.shape[1], dtype=np.int16), at.shape).copy()
+    out[there] = (whole[there] >> np.uint64(49)).astype(np.int16)
+    whole.sort(axis=1)
+    return out, (whole[:, 1:] == whole[:, :-1]).any(1)
+
+
+def _compare(a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row of two arrays of surroundings: whether they share SHARED shingles or are not plain, that is, repeat any
+    of their own (for few different ones may make a passage then), and whether they hold a passage in common beyond
+    reasonable doubt: WORDS words through the middle that are equal, or are so at both ends and differ in one word at
     most where nothing repeats."""
     size = WORDS - SHINGLE + 1
     same = (a == b) & (a >= 0)
     sums = np.zeros((len(a), same.shape[1] + 1), np.int16)
     np.cumsum(same, axis=1, out=sums[:, 1:])
     repeats = lambda x: (np.diff(np.sort(x, axis=1), axis=1) == 0).sum(1)
-    own = repeats(a), repeats(b)
-    shared = repeats(np.concatenate([a, b], 1)) - own[0] - own[1] - ((a == b) & (a < 0)).sum(1)
+    shared = repeats(np.concatenate([a, b], 1)) - repeats(a) - repeats(b) - ((a == b) & (a < 0)).sum(1)
     alike = sums[:, size:] - sums[:, :-size]
     good = (alike >= size - SHINGLE) & same[:, : REACH + 1] & same[:, REACH:]
-    plain = (own[0] == 0) & (own[1] == 0)
     return (shared >= SHARED) | ~plain, (good & (plain[:, None] | (alike == size))).any(1)
 
 
@@ -272,36 +275,38 @@ def _meetings(firsts: DataFrame, rows: DataFrame) -> DataFrame:
                     continue
                 part = batch.column(2)[i].values.flatten()  # x, g, c, n
                 sh = shingles(pa.array([batch.column(4)[i].as_py()], pa.string()), SHINGLE)[0]
-                near = _surroundings(sh, np.asarray(part[2]).astype(np.int64))
-                cols = [part[0], part[1], pa.array(np.full(len(near), batch.column(0)[i].as_py())), part[3].cast(kinds["n"]), pa.array([r.tobytes() for r in near], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["x", "g", "doc", "n", "near"])
+                near, repeats = _surroundings(sh, np.asarray(part[2]).astype(np.int64))
+                cols = [part[0], part[1], pa.array(np.full(len(near), batch.column(0)[i].as_py())), part[3].cast(kinds["n"]), pa.array([r.tobytes() for r in near], pa.binary()), pa.array(~repeats)]
+                yield pa.RecordBatch.from_arrays(cols, names=["x", "g", "doc", "n", "near", "plain"])
 
-    near = texts.mapInArrow(surround, "x long, g long, doc long, n long, near binary")
+    near = texts.mapInArrow(surround, "x long, g long, doc long, n long, near binary, plain boolean")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     near = near.withColumn("b", F.pmod(F.col("x"), blocks).cast("int"))
     near = near.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = near.groupBy("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(F.collect_list(F.struct("x", "doc", "b", "near")).alias("list"))
+    dealt = near.groupBy("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(F.collect_list(F.struct("x", "doc", "b", "near", "plain")).alias("list"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
             to = np.asarray(lists.offsets).astype(np.int64)
-            x, doc, b, near = lists.values.flatten()
+            x, doc, b, near, plain = lists.values.flatten()
             x, doc, b = (np.asarray(v).astype(np.int64) for v in (x, doc, b))
-            near = np.frombuffer(b"".join(near.to_pylist()), np.int32).reshape(len(x), 2 * REACH + 1)
+            plain = plain.to_numpy(zero_copy_only=False)
+            near = np.frombuffer(b"".join(near.to_pylist()), np.int16).reshape(len(x), 2 * REACH + 1)
             across = np.asarray(batch.column(1)) != np.asarray(batch.column(2))
             out: list[tuple[np.ndarray, np.ndarray]] = []
             todo: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
 
-            def judge(todo=todo, out=out, doc=doc, near=near) -> None:
+            def judge(todo=todo, out=out, doc=doc, near=near, plain=plain) -> None:
                 if not todo:
                     return
                 p, q = (np.concatenate(v) for v in zip(*todo, strict=True))
                 todo.clear()
                 may, sure = np.zeros(len(p), bool), np.zeros(len(p), bool)
                 for k in range(0, len(p), 1 << 13):
-                    may[k : k + (1 << 13)], sure[k : k + (1 << 13)] = _compare(near[p[k : k + (1 << 13)]], near[q[k : k + (1 << 13)]])
+                    now = slice(k, k + (1 << 13))
+                    may[now], sure[now] = _compare(near[p[now]], near[q[now]], plain[p[now]] & plain[q[now]])
                 settled = np.unique(p[sure])
                 order = np.lexsort((doc[q[sure]], p[sure]))
                 one, first = np.unique(p[sure][order], return_index=True)
