@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Staged:
     """A DataFrame written as Parquet to the shared folder and read again. It cuts the lineage and, unlike blocks kept
     on executors, outlives a lost one. drop() frees its disk when no later step reads it."""
@@ -38,7 +51,8 @@ class Staged:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -8,17 +8,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import LOWER, Staged, mix, pieces, shingle_hashes, shingles, span_hashes, utf8, word_spans
+from .common import LOWER, Staged, column_name, mix, pieces, shingle_hashes, span_hashes, utf8, word_spans
 from .common import _powers as powers
 
 #: Words of the shortest passage, and of a shingle.
 WORDS, SHINGLE = 50, 5
-#: Hash functions. One that agrees on a pair makes it a candidate, so a pair at 0.75 is missed with 0.25 ** 8 = 1.5e-5.
-FUNCTIONS = 8
-#: Holders of a signature in different surroundings that meet in one group, about; more are dealt to pairs of blocks.
-BLOCK = 128
+#: Shingles of such a passage.
+SIZE = WORDS - SHINGLE + 1
+#: Hash functions, and how many of them must agree on a common region. At a similarity of 0.75 fewer than 2 of 8 agree
+#: with a chance of 4e-4, at 0.8 of 8e-5.
+FUNCTIONS, ENOUGH = 8, 2
+#: Runs of equal shingles by which regions meet: (length, successive runs of which the least hash is taken). Of any
+#: stretch of length + among - 1 equal shingles one run at least is taken, the same one wherever the stretch stands. A
+#: passage of WORDS words has a stretch of 46, and 40 of 46 equal shingles are near enough (40 / 52); two near ones have
+#: one of 20 in common at least, for no more than a seventh of either may differ.
+RUNS = ((40, 7), (24, 7), (12, 9))
 #: Jaccard index of the shingle sets from which passages are near-duplicates, in hundredths.
 SIMILAR = 75
 #: Shingles without a match that a passage may hold in a row, and the shift between its parts.
@@ -26,11 +31,6 @@ GAP = 12
 #: Shingles on either side of a shared one within which every passage through it has WORDS words at least, and how many
 #: of them a passage of up to four times that length shares at least (a seventh of it may differ).
 REACH, SHARED = WORDS - SHINGLE, 20
-_LAST = (1 << 63) - 1
-#: Bits of a row's number that travel with its windows: they tell rows of one doc_id apart.
-_LOW = (1 << 24) - 1
-
-
 def compact_windows(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All compact windows of at least `size` values: (first, least, last) indices, where h[least] is the least value of
     h[first..last] (the leftmost of equals) and neither end can move outward. Zeros in h part the texts and are in no
@@ -70,23 +70,27 @@ def compact_windows(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, n
     return left[keep], at[keep], right[keep]
 
 
-def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place (in shingles), key and surroundings of every window of all hash functions. The key is of the
-    function and the least shingle; the surroundings are a hash of the key, of all shingles within REACH of that one and
-    of where the text ends among them, so places of equal surroundings repeat WORDS words at least."""
+def _shingled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, and their offsets."""
     data, offs = utf8(column)
     low = LOWER[data]
     starts, ends, at = word_spans(low, offs)
+    return shingle_hashes(span_hashes(low, starts, ends), at, SHINGLE)
+
+
+def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, signature and window of every compact window of all hash functions. The signature is of the function
+    and the least shingle. A window is one number: the place of its least shingle, the function, and how far it reaches
+    to either side (REACH at most, for no passage of WORDS words through that shingle reaches farther)."""
     # a single word repeated at length gives equal shingles at every place: nothing to do, ties take the leftmost
-    sh, to = shingle_hashes(span_hashes(low, starts, ends), at, SHINGLE)
-    size = WORDS - SHINGLE + 1
+    sh, to = _shingled(column)
     n = np.diff(to)
-    long = n >= size
+    long = n >= SIZE
     owner = np.repeat(np.arange(len(n)), n)
     keep = long[owner]
     sh, owner = sh[keep], owner[keep]
     if not len(sh):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 3
     place = np.arange(len(keep))[keep] - to[owner]
     # a zero before every text
     texts = np.flatnonzero(long)
@@ -94,49 +98,70 @@ def _signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     spread = np.zeros(len(sh) + len(texts), np.uint32)
     back = np.zeros(len(spread), np.int64)
     back[spot] = np.arange(len(sh))
-    up, down = powers(len(sh) + 1)
-    total = np.zeros(len(sh) + 1, np.uint64)
-    np.cumsum(sh * up[: len(sh)], out=total[1:])
     out = []
     for k in range(FUNCTIONS):
         spread[spot] = np.maximum(mix(sh ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) >> np.uint64(32), 1).astype(np.uint32)
-        _, c, _ = compact_windows(spread, size)
-        c = back[c]
-        key = mix(sh[c] + np.uint64(k))
-        before = np.minimum(place[c], REACH)
-        lo, hi = c - before, c + 1 + np.minimum(n[owner[c]] - 1 - place[c], REACH)
-        around = mix(mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)) + key + before.astype(np.uint64))
-        out.append((owner[c], place[c], key.view(np.int64), around.view(np.int64)))
+        first, least, last = compact_windows(spread, SIZE)
+        c = back[least]
+        window = (place[c] << 15) | (k << 12) | (np.minimum(least - first, REACH) << 6) | np.minimum(last - least, REACH)
+        out.append((owner[c], mix(sh[c] + np.uint64(k)).view(np.int64), window))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _surroundings(sh: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """15 bits of every shingle within REACH of the places c, beyond the text a number below zero of its own; and whether
-    any of those shingles stands there more than once."""
-    at = c[:, None] + np.arange(-REACH, REACH + 1)
-    there = (at >= 0) & (at < len(sh))
-    whole = np.broadcast_to(np.arange(at.shape[1], dtype=np.uint64), at.shape).copy()
-    whole[there] = sh[at[there]]
-    out = np.broadcast_to(-1 - np.arange(at.shape[1], dtype=np.int16), at.shape).copy()
-    out[there] = (whole[there] >> np.uint64(49)).astype(np.int16)
-    whole.sort(axis=1)
-    return out, (whole[:, 1:] == whole[:, :-1]).any(1)
-
-
-def _compare(a: np.ndarray, b: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row by row of two arrays of surroundings: whether they share SHARED shingles or are not plain, that is, repeat any
-    of their own (for few different ones may make a passage then), and whether they hold a passage in common beyond
-    reasonable doubt: WORDS words through the middle that are equal, or are so at both ends and differ in one word at
-    most where nothing repeats."""
-    size = WORDS - SHINGLE + 1
-    same = (a == b) & (a >= 0)
-    sums = np.zeros((len(a), same.shape[1] + 1), np.int16)
-    np.cumsum(same, axis=1, out=sums[:, 1:])
-    repeats = lambda x: (np.diff(np.sort(x, axis=1), axis=1) == 0).sum(1)
-    shared = repeats(np.concatenate([a, b], 1)) - repeats(a) - repeats(b) - ((a == b) & (a < 0)).sum(1)
-    alike = sums[:, size:] - sums[:, :-size]
-    good = (alike >= size - SHINGLE) & same[:, : REACH + 1] & same[:, REACH:]
-    return (shared >= SHARED) | ~plain, (good & (plain[:, None] | (alike == size))).any(1)
+def _regions(windows: np.ndarray, n: int) -> np.ndarray:
+    """For a text of n shingles and its windows whose signatures other texts have too: which shingles are in a region of
+    SIZE or more that windows of ENOUGH functions have in common, that is, in a passage of which ENOUGH functions'
+    signatures occur elsewhere. An interval join: windows of two functions meet if both least shingles are in both."""
+    windows = np.sort(windows)
+    c, f = windows >> 15, windows >> 12 & 7
+    lo, hi = c - (windows >> 6 & 63), c + (windows & 63)
+    edge = np.zeros(n + 1, np.int64)
+    for d in range(1, len(c)):
+        near = c[d:] - c[:-d] <= REACH
+        if not near.any():
+            break
+        low, high = np.maximum(lo[d:], lo[:-d]), np.minimum(hi[d:], hi[:-d])
+        ok = near & (f[d:] != f[:-d]) & (low <= c[:-d]) & (c[d:] <= high) & (high - low + 1 >= SIZE)
+        np.add.at(edge, low[ok], 1)
+        np.add.at(edge, high[ok] + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _runs(sh: np.ndarray, inside: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and places of the runs taken of a text's shingles, of those that lie inside its regions, for each of RUNS.
+    Which runs are taken depends on the whole text's shingles around them, not on the regions."""
+    up, down = powers(len(sh) + 1)
+    total = np.zeros(len(sh) + 1, np.uint64)
+    np.cumsum(sh * up[: len(sh)], out=total[1:])
+    covered = np.concatenate([[0], np.cumsum(inside)])
+    out = []
+    for length, among in RUNS:
+        n = len(sh) - length + 1
+        if n < among:
+            out.append((np.zeros(0, np.int64),) * 2)
+            continue
+        key = mix((total[length:] - total[:n]) * down[:n] + np.uint64(length))
+        least = np.lib.stride_tricks.sliding_window_view(key, among).argmin(1) + np.arange(n - among + 1)
+        at = np.unique(least)
+        at = at[covered[at + length] - covered[at] == length]
+        out.append((key[at].view(np.int64), at))
+    return out
+
+
+def _pair_keys(places: np.ndarray, keys: np.ndarray, of: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of pairs of runs within a passage's length that first occur in different texts, or far apart in
+    one: who holds both runs may be a third text."""
+    order = np.argsort(places, kind="stable")
+    places, keys, of, shift = (x[order] for x in (places, keys, of, shift))
+    key = keys.view(np.uint64)
+    out = []
+    for d in range(1, len(places)):
+        near = places[d:] - places[:-d] <= SIZE - RUNS[-1][0]
+        if not near.any():
+            break
+        ok = np.flatnonzero(near & ((of[d:] != of[:-d]) | (np.abs(shift[d:] - shift[:-d]) > GAP)) & (key[d:] != key[:-d]))
+        out.append((mix(mix(key[ok]) + key[ok + d]).view(np.int64), places[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def _places(a: np.ndarray, b: np.ndarray, s: int, spots: np.ndarray, again: np.ndarray) -> np.ndarray:
@@ -155,7 +180,7 @@ def _places(a: np.ndarray, b: np.ndarray, s: int, spots: np.ndarray, again: np.n
 
 def _longest(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
     """The longest stretch of successive runs whose sets are alike, and the longest ones before and after it."""
-    size = WORDS - SHINGLE + 1
+    size = SIZE
     out: list[tuple[int, int, int, int, float]] = []
     todo = [chain]
     while todo:
@@ -185,15 +210,22 @@ def _longest(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int, int]]) ->
     return out
 
 
+def _widened(first: int, last: int, n: int) -> tuple[int, int]:
+    """A stretch of n shingles' places widened to SIZE where there is room: to the right, then to the left."""
+    last = min(n - 1, max(last, first + SIZE - 1))
+    return max(0, min(first, last - SIZE + 1)), last
+
+
 def _passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Near-duplicate passages of two sequences of shingles: (first, last of a, first, last of b, Jaccard index). seeds:
     places in a whose shingle b has too.
 
     From each seed all its places in b are looked at, around which enough is alike. Runs of equal shingles on the
-    diagonals at most GAP from that through seed and place, at most GAP apart, make one passage; its sets decide, and
+    diagonals at most GAP from that through seed and place, at most GAP apart, make one passage, widened to SIZE shingles
+    where it is shorter (its ends may be what differs); its sets decide, and
     where they differ too much, the longest stretches of successive runs whose sets are alike. What recurs elsewhere in
     b lies on other diagonals and parts nothing."""
-    size = WORDS - SHINGLE + 1
+    size = SIZE
     order = np.argsort(b, kind="stable")
     sorted_b = b[order]
     again = np.zeros(len(b) + 1, np.int64)
@@ -240,6 +272,9 @@ def _passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> list[tuple[int
                 judged.add(tuple(chain))
                 a0, a1 = chain[0][0], max(r[1] for r in chain)
                 b0, b1 = min(r[0] + r[2] for r in chain), max(r[1] + r[2] for r in chain)
+                if min(a1 - a0, b1 - b0) + 1 < size:
+                    a0, a1 = _widened(a0, a1, len(a))
+                    b0, b1 = _widened(b0, b1, len(b))
                 if min(a1 - a0, b1 - b0) + 1 < size:
                     continue
                 x, y = np.unique(a[a0 : a1 + 1]), np.unique(b[b0 : b1 + 1])
@@ -253,154 +288,153 @@ def _passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> list[tuple[int
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
+    """rid (a hash of id and text, which tells the rows of one id apart), none (whether the id is null), doc (0 then),
+    text."""
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(F.xxhash64("doc_id", text).alias("rid"), own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("doc"), text.alias("text"))
 
 
-def _meetings(firsts: DataFrame, rows: DataFrame) -> DataFrame:
-    """x, own, of: classes (x, g, doc, row, c, n: the classes of g) with each earlier document that holds the same
-    signature in surroundings which may be of a common passage. Where such a passage is certain, one document does.
+#: Whether a key's first holder, a struct `first`, is of a smaller id than the row. A null id is after all others.
+_LATER = "NOT first.none AND (none OR doc > first.doc)"
 
-    The classes of a signature are dealt by a hash to blocks of about BLOCK, and every two blocks meet in a group, so a
-    long list costs the square of its length in comparisons, but no task grows with it."""
-    lists = firsts.groupBy("doc", "row").agg(F.collect_list(F.struct("x", "g", "c", "n")).alias("list")).alias("l")  # windows of one text
-    texts = lists.join(rows.alias("t"), F.col("l.doc") == F.col("t.doc")).select("l.doc", "l.row", "list", F.col("t.row").alias("text_row"), "text")
 
-    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"x": pa.int64(), "g": pa.int64(), "n": pa.int64()}
-        for batch in batches:
-            row, other = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            for i in range(batch.num_rows):
-                if row[i] != other[i] & _LOW:
-                    continue
-                part = batch.column(2)[i].values.flatten()  # x, g, c, n
-                sh = shingles(pa.array([batch.column(4)[i].as_py()], pa.string()), SHINGLE)[0]
-                near, repeats = _surroundings(sh, np.asarray(part[2]).astype(np.int64))
-                cols = [part[0], part[1], pa.array(np.full(len(near), batch.column(0)[i].as_py())), part[3].cast(kinds["n"]), pa.array([r.tobytes() for r in near], pa.binary()), pa.array(~repeats)]
-                yield pa.RecordBatch.from_arrays(cols, names=["x", "g", "doc", "n", "near", "plain"])
-
-    near = texts.mapInArrow(surround, "x long, g long, doc long, n long, near binary, plain boolean")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    near = near.withColumn("b", F.pmod(F.col("x"), blocks).cast("int"))
-    near = near.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = near.groupBy("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).agg(F.collect_list(F.struct("x", "doc", "b", "near", "plain")).alias("list"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            to = np.asarray(lists.offsets).astype(np.int64)
-            x, doc, b, near, plain = lists.values.flatten()
-            x, doc, b = (np.asarray(v).astype(np.int64) for v in (x, doc, b))
-            plain = plain.to_numpy(zero_copy_only=False)
-            near = np.frombuffer(b"".join(near.to_pylist()), np.int16).reshape(len(x), 2 * REACH + 1)
-            across = np.asarray(batch.column(1)) != np.asarray(batch.column(2))
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            todo: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def judge(todo=todo, out=out, doc=doc, near=near, plain=plain) -> None:
-                if not todo:
-                    return
-                p, q = (np.concatenate(v) for v in zip(*todo, strict=True))
-                todo.clear()
-                may, sure = np.zeros(len(p), bool), np.zeros(len(p), bool)
-                for k in range(0, len(p), 1 << 13):
-                    now = slice(k, k + (1 << 13))
-                    may[now], sure[now] = _compare(near[p[now]], near[q[now]], plain[p[now]] & plain[q[now]])
-                settled = np.unique(p[sure])
-                order = np.lexsort((doc[q[sure]], p[sure]))
-                one, first = np.unique(p[sure][order], return_index=True)
-                out.append((one, q[sure][order][first]))
-                rest = may & ~np.isin(p, settled)
-                out.append((p[rest], q[rest]))
-
-            for k in range(batch.num_rows):
-                own = np.arange(to[k], to[k + 1])
-                p, q = (v.ravel() for v in np.meshgrid(own, own, indexing="ij"))
-                ok = doc[p] > doc[q]
-                if across[k]:
-                    ok &= b[p] != b[q]
-                todo.append((p[ok], q[ok]))
-                size += int(ok.sum())
-                if size > 1 << 16:
-                    judge()
-                    size = 0
-            judge()
-            p, q = (np.concatenate(v) if out else np.zeros(0, np.int64) for v in (zip(*out, strict=True) if out else ((), ())))
-            yield pa.RecordBatch.from_arrays([pa.array(x[p]), pa.array(doc[p]), pa.array(doc[q])], names=["x", "own", "of"])
-
-    return dealt.mapInArrow(meet, "x long, own long, of long").distinct()
-
-
-_PASSAGES = "doc long, row long, start long, n_words long, of long, of_start long, of_words long, similarity double"
+def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of _keyed, equal ones once; and rid, none, doc, of_rid, of, n_words: those whose whole text, of WORDS
+    words at least, is that of a row with a smaller id."""
+    rows = _keyed(docs)
+    facts = Staged(rows.select("rid", "none", "doc", F.md5("text").alias("same"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")), "facts")
+    if not facts.df.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["rid"])
+    texts = facts.df.where(F.col("n_words") >= WORDS)
+    first = texts.groupBy("same").agg(F.min(F.struct("none", "doc", "rid")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = texts.join(first, "same").where(_LATER).select("rid", "none", "doc", F.col("first.rid").alias("of_rid"), F.col("first.doc").alias("of"), "n_words").distinct()
+    out = Staged(copies, "copies").df
+    facts.drop()
+    return rows, out
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """doc, row, start, n_words, of, of_start, of_words, similarity: passages of documents that repeat one of an earlier
-    document; places and lengths in words."""
-    rows = _keyed(docs)
+def _first_holders(runs: DataFrame) -> DataFrame:
+    """runs (key, rid, none, doc, at) of all rows but the first of each key, with first: its none, doc, rid and at."""
+    first = runs.groupBy("key").agg(F.min(F.struct("none", "doc", "rid", "at")).alias("first"), F.max(F.struct("none", "doc")).alias("last"))
+    first = Staged(first.where("first.none < last.none OR first.doc < last.doc").select("key", "first"), "first-holders")
+    met = Staged(runs.join(first.df, "key").where(_LATER), "met")
+    first.drop()
+    return met
+
+
+_RUN = "key long, rid long, none boolean, doc long, at int"
+_PASSAGES = "rid long, none boolean, doc long, start long, n_words long, of long, of_start long, of_words long, similarity double"
+
+
+def _candidates(rows: DataFrame, copies: DataFrame) -> Staged:
+    """rid, of_rid, seeds: rows of which passages may nearly repeat one of an earlier row, and the places (in shingles)
+    where runs of shingles that the earlier row has too begin."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b, "text", 1 << 20):
-                text, place, key, around = _signatures(p.column(2))
+                text, key, window = _signatures(p.column(1))
                 if len(text):
-                    text = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(around), p.column(0).take(text), p.column(1).take(text), pa.array(place, pa.int32())], names=["g", "x", "doc", "row", "c"])
-
-    found = rows.select("doc", F.col("row").bitwiseAND(_LOW), "text").mapInArrow(sign, "g long, x long, doc long, row long, c int")
-    # Places of equal surroundings make a class. The document of the smallest id stands for it: that the others repeat
-    # it is certain, so their links are as many as they are. The first of every class meets those of all other classes
-    # of its signature. Most signatures have one class, of which no more than the signature need travel.
-    part = F.col("x").bitwiseAND((1 << 31) - 1)
-    keys = found.groupBy("g").agg(F.min("doc").alias("of"), F.max("doc").alias("other"), F.min(part).alias("lo"), F.max(part).alias("hi"))
-    keys = keys.where("of < other").select("g", "of", F.expr("lo < hi").alias("mixed"))
-    held = found.join(keys, "g").where("mixed OR doc > of").select("g", F.expr("IF(mixed, x, NULL)").alias("x"), "doc", "row", "c", F.expr("IF(mixed, NULL, of)").alias("of"))
-    held = Staged(held, "held").df
-    mixed = held.where("x IS NOT NULL").drop("of")
-    classes = mixed.groupBy("x").agg(F.first("g").alias("g"), F.min(F.struct("doc", "row", "c")).alias("m"), F.max("doc").alias("other"))
-    classes = classes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g")))
-    kept = Staged(classes.select("x", "g", "m.*", "other", "n"), "classes").df
-    met = _meetings(kept.where("n > 1"), rows)
-    null = F.lit(None).cast("long")
-    targets = kept.where("doc < other").select("x", F.col("doc").alias("of"), null.alias("own")).union(met.select("x", "of", "own"))
-    # the places of a class in the document that stands for it have the partners of its first place
-    shared = mixed.drop("g").join(targets, "x").where("IF(own IS NULL, doc > of, doc = own)").select("doc", "row", "c", "of")
-    shared = shared.union(held.where("x IS NULL").select("doc", "row", "c", "of"))
-    pairs = shared.groupBy("doc", "row", "of").agg(F.collect_set("c").alias("seeds"))  # at most the windows of one text
-    # One exchange of the texts, by doc, serves both joins: they read the same columns, and whether a text is the one of
-    # the pair's row is looked at afterwards, for as a join condition it would ask for another exchange.
-    mine, other = rows.alias("mine"), rows.alias("other")
-    both = pairs.alias("p").join(mine, F.col("p.doc") == F.col("mine.doc")).select("p.doc", "p.row", "p.of", "p.seeds", F.col("mine.row").alias("mine_row"), F.col("mine.text").alias("mine_text"))
-    both = both.join(other, F.col("of") == F.col("other.doc")).select("p.doc", "p.row", "of", "seeds", "mine_row", "mine_text", F.col("other.row").alias("of_row"), F.col("other.text").alias("of_text"))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), p.column(0).take(pa.array(text)), pa.array(window)], names=["g", "rid", "w"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}  # the shingles of the last earlier document: pairs often come by it
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b, "text", 1 << 20):
+                text, key, _ = _signatures(p.column(1))
+                if len(text):
+                    order = np.lexsort((text, key))
+                    text, key = text[order], key[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+                    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.add.reduceat(new, at, dtype=np.int64))], names=["g", "n"])
+
+    texts = rows.select("rid", "text")
+    shared = texts.mapInArrow(distinct, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
+    shared = Staged(shared, "signatures")  # written first, so that Spark can split the large partitions of the join
+    held = Staged(texts.mapInArrow(sign, "g long, rid long, w long").join(shared.df, "g").groupBy("rid").agg(F.collect_list("w").alias("windows")), "windows")  # of one text
+    shared.drop()
+    marked = held.df.join(copies.select("rid"), "rid", "left_anti").join(rows, "rid")
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b, "text", 1 << 20):
+                sh, to = _shingled(p.column(4))
+                which, keys, places = [], [], []
+                for i in range(p.num_rows):
+                    own = sh[to[i] : to[i + 1]]
+                    windows = np.asarray(p.column(1)[i].values)
+                    inside = _regions(windows, len(own))
+                    if inside.any():
+                        for key, at in _runs(own, inside):
+                            # of equal runs of one text, the first place
+                            key, one = np.unique(key, return_index=True)
+                            which.append(np.full(len(key), i))
+                            keys.append(key)
+                            places.append(at[one])
+                if which:
+                    which = pa.array(np.concatenate(which))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(p.column(c).take(which) for c in (0, 2, 3)), pa.array(np.concatenate(places), pa.int32())], names=["key", "rid", "none", "doc", "at"])
+
+    runs = Staged(marked.select("rid", "windows", "none", "doc", "text").mapInArrow(sample, _RUN), "runs")
+    held.drop()
+    met = _first_holders(runs.df)
+    runs.drop()
+
+    # Where the runs of a passage first occur in different texts, none of these need hold the passage: the first text
+    # that has two of them does.
+    lists = met.df.groupBy("rid", "none", "doc").agg(F.collect_list(F.struct("at", "key", F.col("first.rid").alias("of"), F.col("first.at").alias("to"))).alias("list"))  # of one text
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                at, key, of, to = (np.asarray(x).astype(np.int64) for x in b.column(3)[i].values.flatten())
+                if (of == of[0]).all() and np.ptp(at - to) <= GAP:
+                    continue
+                keys, places = _pair_keys(at, key, of, at - to)
+                keys, one = np.unique(keys, return_index=True)
+                own = pa.array(np.full(len(keys), i))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(own) for c in (0, 1, 2)), pa.array(places[one], pa.int32())], names=["key", "rid", "none", "doc", "at"])
+
+    pairs = Staged(lists.mapInArrow(pair, _RUN), "run-pairs")
+    again = _first_holders(pairs.df)
+    pairs.drop()
+    links = met.df.union(again.df).groupBy("rid", F.col("first.rid").alias("of_rid")).agg(F.collect_set("at").alias("seeds"))  # of one text
+    out = Staged(links, "links")
+    met.drop()
+    again.drop()
+    return out
 
-        def shingled(text: pa.Scalar) -> np.ndarray:
-            data, offs = utf8(pa.array([text.as_py()], pa.string()))
-            low = LOWER[data]
-            starts, ends, at = word_spans(low, offs)
-            return shingle_hashes(span_hashes(low, starts, ends), at, SHINGLE)[0]
 
+def passages(docs: DataFrame) -> DataFrame:
+    """rid, none, doc, start, n_words, of, of_start, of_words, similarity: passages of rows that nearly repeat one of an
+    earlier row; places and lengths in words."""
+    rows, copies = _copies(docs)
+    links = _candidates(rows, copies).df
+    # One exchange of the texts serves both joins: they read the same columns.
+    mine, other = rows.alias("mine"), rows.alias("other")
+    both = links.join(mine, links.rid == F.col("mine.rid")).select(links.rid.alias("a"), "of_rid", "seeds", F.col("none").alias("a_none"), F.col("doc").alias("a_doc"), F.col("text").alias("a_text"))
+    both = both.join(other, F.col("of_rid") == F.col("rid")).select("a", "of_rid", "seeds", "a_none", "a_doc", "a_text", F.col("doc").alias("of"), F.col("text").alias("of_text"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # the shingles of the last earlier text: pairs often come by it
         for batch in batches:
             made = []
-            doc, row, of, mine_row, of_row = (batch.column(c).to_pylist() for c in (0, 1, 2, 4, 6))
+            rid, of_rid, none, doc, of = (batch.column(c).to_pylist() for c in (0, 1, 3, 4, 6))
             for i in range(batch.num_rows):
-                if row[i] != mine_row[i] & _LOW:
-                    continue
-                if (of[i], of_row[i]) not in held:
-                    held = {(of[i], of_row[i]): shingled(batch.column(7)[i])}
-                a, b = shingled(batch.column(5)[i]), held[of[i], of_row[i]]
-                seeds = np.sort(np.asarray(batch.column(3)[i].values))
-                seeds = seeds[seeds < len(a)]
+                if of_rid[i] not in held:
+                    held = {of_rid[i]: _shingled(pa.array([batch.column(7)[i].as_py()], pa.string()))[0]}
+                a, b = _shingled(pa.array([batch.column(5)[i].as_py()], pa.string()))[0], held[of_rid[i]]
+                seeds = np.sort(np.asarray(batch.column(2)[i].values)).astype(np.int64)
                 for a0, a1, b0, b1, s in _passages(a, b, seeds):
-                    made.append((doc[i], mine_row[i], a0, a1 - a0 + SHINGLE, of[i], b0, b1 - b0 + SHINGLE, s))
-            kinds = [pa.int64()] * 7 + [pa.float64()]
-            cols = list(zip(*made, strict=True)) if made else [[]] * 8
+                    made.append((rid[i], none[i], doc[i], a0, a1 - a0 + SHINGLE, of[i], b0, b1 - b0 + SHINGLE, s))
+            kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 6, pa.float64()]
+            cols = list(zip(*made, strict=True)) if made else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _PASSAGES.split(", ")])
 
-    return both.mapInArrow(verify, _PASSAGES)
+    zero = F.lit(0).cast("long")
+    whole = copies.select("rid", "none", "doc", zero.alias("start"), "n_words", "of", zero.alias("of_start"), F.col("n_words").alias("of_words"), F.lit(1.0).alias("similarity"))
+    return both.mapInArrow(verify, _PASSAGES).union(whole)
 
 
 def near_passages(docs: DataFrame) -> DataFrame:
@@ -408,25 +442,23 @@ def near_passages(docs: DataFrame) -> DataFrame:
     that nearly repeats one of a row with a smaller doc_id (places in words parted by ASCII white space, from 0;
     similarity: the Jaccard index of the sets of 5-word shingles, 0.75 or more).
 
-    A passage that many rows share is linked from each to the first where it stands in equal surroundings, so the links
-    are as many as the rows; in different surroundings each is linked to those it may nearly repeat. Null, empty
+    A whole text that an earlier row has too is one passage. Else each passage is linked to the first row that holds one
+    of its runs of shingles, at three lengths, and to the first that holds two runs which first occur in different rows:
+    representatives, so the links of a passage that many rows share are as many as the rows. Null, empty
     and shorter texts have no passages. Rows of one doc_id are not compared with each other; equal rows give their
     passages each; a null doc_id comes after all others and is returned as null. Extra columns are ignored; an empty
     table gives an empty result."""
-    null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return passages(docs).select(null("doc").alias("doc_id"), "start", "n_words", null("of").alias("of_doc_id"), "of_start", "of_words", "similarity")
+    return passages(docs).select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "start", "n_words", F.col("of").alias("of_doc_id"), "of_start", "of_words", "similarity")
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """docs with every such passage cut out of the row that comes later; the first copy stays. Of the text around a cut
     nothing changes. Rows keep their columns and their number; a text that is one repeated passage becomes empty."""
-    names = docs.columns
-    if "__parts" in names or "__row" in names:
-        raise ValueError("docs must not have columns named __parts or __row")
+    names, rid, found = docs.columns, column_name(docs, "rid"), column_name(docs, "parts")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = passages(docs).groupBy("row").agg(F.collect_set(F.struct("start", "n_words")).alias("__parts"))  # of one text
-    met = docs.withColumn("__row", F.xxhash64(F.col("doc_id"), text)).join(parts.withColumnRenamed("row", "__row"), "__row", "left").select(*names, "__parts")
-    at = names.index("text")
+    parts = passages(docs).groupBy(F.col("rid").alias(rid)).agg(F.collect_set(F.struct("start", "n_words")).alias(found))  # of one text
+    met = docs.withColumn(rid, F.xxhash64(F.col("doc_id"), text)).join(parts, rid, "left").select(*names, found)
+    at = [n.lower() for n in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -146,9 +146,60 @@ def test_passages_at_the_threshold_are_found(spark):
     assert {(r.doc_id, r.of_doc_id) for r in got} == {(2 * k + 1, 2 * k) for k in range(150)}
 
 
-def test_long_lists_meet_in_blocks(spark, monkeypatch):
-    rows, _, _ = corpus(6)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = sorted(pd_.near_passages(df).collect())
-    monkeypatch.setattr(pd_, "BLOCK", 2)
-    assert {r.doc_id for r in pd_.near_passages(df).collect()} == {r.doc_id for r in whole}
+def family(rng, k, near):
+    """A0 and A1 hold parts of a passage of 60 words, B the whole, C the whole or with one word changed."""
+    word = lambda: f"w{rng.randrange(10**6)}"
+    p = [word() for _ in range(60)]
+    last = [*p[:30], word(), *p[31:]] if near else p
+    around = lambda t: " ".join([*(word() for _ in range(30)), *t, *(word() for _ in range(30))])
+    return [(10 * k + i, around(t)) for i, t in enumerate((p[:40], p[20:], p, last))]
+
+
+def test_holders_of_parts_hide_no_whole(spark):
+    rng = random.Random(11)
+    rows = [r for k in range(150) for r in family(rng, k, False)]
+    got = pd_.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {(r.doc_id, r.of_doc_id) for r in got if r.n_words >= 59}
+    assert {(10 * k + 3, 10 * k + 2) for k in range(150)} <= whole
+
+
+def test_holders_of_both_halves_hide_no_near_passage(spark):
+    """Each half of the changed passage stands in an earlier text of its own: only who holds two runs is the partner."""
+    rng, rows = random.Random(12), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    around = lambda t: " ".join([*(word() for _ in range(30)), *t, *(word() for _ in range(30))])
+    for k in range(100):
+        p = [word() for _ in range(60)]
+        for i, t in enumerate((p[:30], p[31:], p, [*p[:30], word(), *p[31:]])):
+            rows.append((10 * k + i, around(t)))
+    got = {(r.doc_id, r.of_doc_id) for r in pd_.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((10 * k + 3, 10 * k + 2) in got for k in range(100)) >= 97
+
+
+def test_brute_force_over_all_pairs(spark):
+    """Texts that are their passages: the pairs at 0.75 and more by brute force are linked, or in one chain of links."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for k in range(40):
+        p = [word() for _ in range(rng.randrange(50, 90))]
+        for i in range(5):
+            q = list(p)
+            for _ in range(rng.randrange(3)):
+                q[rng.randrange(len(q))] = word()
+            rows.append((10 * k + i, " ".join(q)))
+    sets = {i: brute.shingle_set(t) for i, t in rows}
+    want = [(a, b) for a in sets for b in sets if b < a and a // 10 == b // 10 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = {(r.doc_id, r.of_doc_id) for r in pd_.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(a // 10 == b // 10 for a, b in got)
+    of = brute.groups(sets, got)
+    assert sum(of[a] == of[b] for a, b in want) >= 0.99 * len(want) and len({a for a, _ in want} - {a for a, _ in got}) <= 0.01 * len(want)
+
+
+def test_clashing_columns_and_the_largest_id(spark):
+    t = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, t, "a", 1), ((1 << 63) - 1, t, "b", 2), (None, t + " y", "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, parts string, rid int")
+    assert {(r.doc_id, r.of_doc_id) for r in pd_.near_passages(df).collect()} == {((1 << 63) - 1, 1), (None, 1)}
+    left = pd_.remove_passages(df)
+    assert left.columns == df.columns and {r.parts: r.text.strip() for r in left.collect()} == {"a": t, "b": "", "c": "y"}
