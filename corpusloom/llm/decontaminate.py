@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged
+from .common import Staged, column_name
 
 #: Words of a window, and of a shingle, the token of the join.
 WINDOW, SHINGLE = 10, 3
@@ -120,7 +120,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark window occurs."""
-    spans = contaminated_spans(docs, benchmark)
-    bad = Staged(spans.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct(), "contaminated").df
+    d, h = column_name(docs, "d"), column_name(docs, "h")
+    spans = contaminated_spans(docs.select("doc_id", "text"), benchmark)
+    bad = Staged(spans.select(F.col("doc_id").alias(d), F.col("th").alias(h)).distinct(), "contaminated").df
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h)), "left_anti")

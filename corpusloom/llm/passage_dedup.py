@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Staged, column_name, mix, pieces, shingle_hashes, span_hashes, utf8, word_spans
+from .common import LOWER, Staged, column_name, mix, pieces, shingle_hashes, small, span_hashes, utf8, word_spans
 from .common import _powers as powers
 
 #: Words of the shortest passage, and of a shingle.
@@ -388,13 +388,16 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of _keyed, equal ones once; and rid, none, doc, of_rid, of, n_words: those whose whole text, of WORDS
     words at least, is that of a row with a smaller id."""
     rows = _keyed(docs)
-    facts = Staged(rows.select("rid", "none", "doc", F.md5("text").alias("same"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words")), "facts")
+    facts = Staged(rows.select("rid", "none", "doc", F.md5("text").alias("same"), F.octet_length("text").alias("n")), "facts")
     if not facts.df.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         rows = rows.dropDuplicates(["rid"])
-    texts = facts.df.where(F.col("n_words") >= WORDS)
-    first = texts.groupBy("same").agg(F.min(F.struct("none", "doc", "rid")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = texts.join(first, "same").where(_LATER).select("rid", "none", "doc", F.col("first.rid").alias("of_rid"), F.col("first.doc").alias("of"), "n_words").distinct()
+    texts = facts.df.where(F.col("n") >= 2 * WORDS - 1)
+    first = texts.groupBy("same").agg(F.min(F.struct("none", "doc", "rid")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    equal = Staged(texts.join(first, "same").where(_LATER).select("rid", F.col("first.rid").alias("of_rid"), F.col("first.doc").alias("of")).distinct(), "equal")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    copies = rows.join(small(equal.df), "rid").select("rid", "none", "doc", "of_rid", "of", n_words.alias("n_words")).where(F.col("n_words") >= WORDS)
     out = Staged(copies, "copies").df
+    equal.drop()
     facts.drop()
     return rows, out
 
@@ -428,12 +431,8 @@ def _candidates(rows: DataFrame, copies: DataFrame) -> Staged:
             for p in pieces(b, "text", 1 << 20):
                 text, key, _ = _signatures(p.column(1))
                 if len(text):
-                    order = np.lexsort((text, key))
-                    text, key = text[order], key[order]
-                    new = np.ones(len(key), bool)
-                    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-                    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.add.reduceat(new, at, dtype=np.int64))], names=["g", "n"])
+                    key, n = np.unique(key, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["g", "n"])
 
     texts = rows.select("rid", "text")
     shared = texts.mapInArrow(distinct, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")

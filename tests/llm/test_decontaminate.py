@@ -78,3 +78,9 @@ def test_no_python_in_the_plan(spark):
     _, d, b = run(spark, [(1, "a b c")], [(1, "a b c")])
     plan = decontaminate.decontaminate(d, b)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_uncontaminated_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", 5, "p"), (2, "clean", 6, "q")], "doc_id long, text string, d int, th string")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.uncontaminated(docs, items).collect()] == [(2, "clean", 6, "q")]
