@@ -22,7 +22,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that nearly repeat an earlier document's are cut out; n_chars follows the text. Every row stays."""
-    return passage_dedup.remove_passages(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    left = passage_dedup.remove_passages(docs)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
