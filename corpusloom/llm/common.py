@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -92,6 +93,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets - offsets[0]) if len(column) else np.zeros(1, np.int64)
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system: Python workers live on between
+    stages, and an executor's memory is shared by all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes in all, or one text: it bounds numpy's temporary arrays."""
     n = batch.num_rows
@@ -103,6 +114,8 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    if offs[-1] >= most:
+        release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
