@@ -46,6 +46,18 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+#: Terms of the expected information that are in memory at once.
+STRETCH = 1 << 20
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln(n!) of whole numbers: a table of the first, Stirling's series beyond."""
+    table = np.array([math.lgamma(i + 1) for i in range(32)])
+    x = np.maximum(n, 31) + 1.0
+    series = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 32, table[np.minimum(n, 31)], series)
+
+
 def adjusted_mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: ami. The expected information is a sum over the two labelings' sizes, as a Python step on one row of
     distinct sizes with their counts, which are far fewer than the labels."""
@@ -63,14 +75,15 @@ def adjusted_mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
                 N = x.N
                 ha, hb = math.log(N) - x.ha / N, math.log(N) - x.hb / N
                 mi = ha + hb - (math.log(N) - x.hij / N)
-                lg = np.array([math.lgamma(i + 1) for i in range(N + 1)])
                 expected = 0.0
                 for p in x.sa:
                     for q in x.sb:
                         s, u = p["s"], q["s"]
-                        nij = np.arange(max(1, s + u - N), min(s, u) + 1)
-                        w = lg[s] + lg[u] + lg[N - s] + lg[N - u] - lg[N] - lg[nij] - lg[s - nij] - lg[u - nij] - lg[N - s - u + nij]
-                        expected += p["k"] * q["k"] * float((nij / N * (np.log(N * nij) - math.log(s * u)) * np.exp(w)).sum())
+                        fixed = float(_log_factorial(np.array([s, u, N - s, N - u, N])) @ np.array([1, 1, 1, 1, -1]))
+                        for at in range(max(1, s + u - N), min(s, u) + 1, STRETCH):
+                            nij = np.arange(at, min(at + STRETCH, min(s, u) + 1))
+                            w = fixed - sum(_log_factorial(m) for m in (nij, s - nij, u - nij, N - s - u + nij))
+                            expected += p["k"] * q["k"] * float((nij / N * (np.log(N * nij.astype(float)) - math.log(s) - math.log(u)) * np.exp(w)).sum())
                 gap = (ha + hb) / 2 - expected
                 yield pd.DataFrame({"ami": [round(1.0 if abs(gap) < 1e-15 else (mi - expected) / gap, 6)]})
 
@@ -204,12 +217,13 @@ def rouge_l(rows: DataFrame) -> DataFrame:
     return rows.select("id", score("summary", "reference").alias("f1"))
 
 
-def bootstrap_ci(rows: DataFrame, value: str, rounds: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """One row: lo and hi of the mean by resampling. Every draw is a Poisson weight from a hash of row and round, so one
-    aggregation gives all rounds' means."""
-    valid = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i"))
+def bootstrap_ci(rows: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """One row: lo and hi of the mean by resampling. Every draw is a Poisson weight from an MD5 of key, round and seed, so
+    one aggregation gives all rounds' means, the same ones however the rows are dealt. Rows of equal or null key share
+    their draws; null values stay out."""
+    valid = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("i"))
     each = valid.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64("i", "round", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    u = F.conv(F.substring(F.md5(F.concat("i", F.lit(":"), F.col("round").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     acc, p, weight = math.exp(-1), math.exp(-1), F.lit(0)
     for k in range(1, 8):
         weight = weight + (u >= acc).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -134,7 +136,14 @@ def agreement(spark, sf_dir):
     return metrics.agreement(table(spark, sf_dir, "documents"), "lang", "source")
 
 
-@query()
+@query("""
+WITH t AS (SELECT lang AS a, source AS b, count(*) AS n FROM documents GROUP BY 1, 2), A AS (SELECT sum(n)::DOUBLE AS s FROM t GROUP BY a), B AS (SELECT sum(n)::DOUBLE AS u FROM t GROUP BY b),
+k AS (SELECT sum(n)::DOUBLE AS m, sum(n * ln(n)) AS h FROM t), x AS (SELECT sum(s * ln(s)) AS h FROM A), y AS (SELECT sum(u * ln(u)) AS h FROM B),
+v AS (SELECT m, ln(m) - x.h / m AS ha, ln(m) - y.h / m AS hb, ln(m) - k.h / m AS hab FROM k, x, y),
+c AS (SELECT s, u, m, unnest(range(greatest(1, s + u - m)::BIGINT, least(s, u)::BIGINT + 1))::DOUBLE AS i FROM A, B, k),
+e AS (SELECT sum(i / m * ln(m * i / (s * u)) * exp(lgamma(s + 1) + lgamma(u + 1) + lgamma(m - s + 1) + lgamma(m - u + 1) - lgamma(m + 1) - lgamma(i + 1) - lgamma(s - i + 1) - lgamma(u - i + 1) - lgamma(m - s - u + i + 1))) AS e FROM c)
+SELECT round((ha + hb - hab - e) / ((ha + hb) / 2 - e), 6) AS ami FROM v, e
+""")
 def adjusted_mutual_information(spark, sf_dir):
     return metrics.adjusted_mutual_information(table(spark, sf_dir, "documents"), "lang", "source")
 
@@ -207,9 +216,17 @@ def rouge_l(spark, sf_dir):
     return metrics.rouge_l(_summaries(spark, sf_dir))
 
 
-@query()
+# weights: how many of the Poisson distribution's first cumulated shares a draw reaches
+_SHARES = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(7)]
+
+
+@query(f"""
+WITH r AS (SELECT c_acctbal::DOUBLE AS v, i, ('0x' || substr(md5(c_custkey || ':' || i || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM customer, range(1, 1001) q(i) WHERE c_acctbal IS NOT NULL),
+w AS (SELECT i, v, {" + ".join(f"(u >= {s!r}::DOUBLE)::INT" for s in _SHARES)} AS w FROM r), m AS (SELECT sum(v * w) / nullif(sum(w), 0) AS m FROM w GROUP BY i)
+SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m
+""")
 def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap_ci(table(spark, sf_dir, "customer"), "c_acctbal")
+    return metrics.bootstrap_ci(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
 
 
 @query("SELECT event_type, round(avg(value) / max(value), 6) AS score, CASE WHEN avg(value) / max(value) >= 0.7 THEN 'strong' WHEN avg(value) / max(value) >= 0.5 THEN 'reasonable' WHEN avg(value) / max(value) >= 0.25 THEN 'weak' ELSE 'none' END AS reading FROM events GROUP BY 1")

@@ -78,6 +78,19 @@ def test_identical_labelings(spark):
     assert metrics.agreement(rows, "a", "c").first().nmi == metrics.agreement(rows, "c", "a").first().nmi
 
 
+def test_log_factorials():
+    n = np.array([0, 1, 5, 31, 32, 33, 1000, 10**9])
+    assert np.allclose(metrics._log_factorial(n), [math.lgamma(int(i) + 1) for i in n], rtol=1e-14, atol=1e-14)
+
+
+def test_bootstrap_does_not_follow_the_partitions(spark):
+    rows = spark.createDataFrame([(i, float(i * i % 17)) for i in range(200)] + [(None, 3.0), (5, None)], "id long, v double")
+    answers = {tuple(metrics.bootstrap_ci(rows.repartition(n), "id", "v", rounds=50).first()) for n in (1, 4)}
+    assert len(answers) == 1
+    lo, hi = answers.pop()
+    assert lo < 7.8 < hi
+
+
 def test_zero_vectors_and_single_clusters(spark):
     assert one(spark, vx.l2_normalise(F.col("v")), v=[0.0, 0.0]) == [0.0, 0.0]
     rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "id long, cluster int, v array<double>")
