@@ -52,15 +52,17 @@ def largest_clusters(assigned: DataFrame, k: int) -> DataFrame:
 
 
 def quality_range(rows: DataFrame, key: str, score: str, n: int) -> DataFrame:
-    """A third of the best, a third of the worst, and the rest nearest to the median of what remains."""
+    """A third of the best, a third of the worst, and the rest nearest to the median of what remains. Keys are unique.
+    Each part is a top-n, so no window runs over the whole table."""
     third = max(1, n // 3)
     valid = rows.where(F.col(score).isNotNull()).select(key, score)
-    ranks = valid.withColumns({"hi": F.row_number().over(Window.orderBy(F.col(score).desc(), key)), "lo": F.row_number().over(Window.orderBy(F.col(score), key))})
-    named = ranks.withColumn("part", F.when(F.col("hi") <= third, "best").when(F.col("lo") <= third, "worst"))
-    rest = named.where("part IS NULL").select(key, score)
+    best = valid.orderBy(F.col(score).desc(), key).limit(third).withColumn("part", F.lit("best"))
+    low = valid.orderBy(score, key).limit(third).withColumn("part", F.lit("worst"))
+    ends = best.union(low.join(F.broadcast(best.select(key)), key, "left_anti"))  # 2 * third rows at most
+    rest = valid.join(F.broadcast(ends.select(key)), key, "left_anti")
     mid = rest.agg(F.percentile(score, 0.5).alias("m"))
     near = rest.join(F.broadcast(mid)).withColumn("d", F.abs(F.col(score) - F.col("m"))).orderBy("d", key).limit(max(0, n - 2 * third))
-    return named.where("part IS NOT NULL").select(key, score, "part").union(near.select(key, score, F.lit("middle")))
+    return ends.union(near.select(key, score, F.lit("middle")))
 
 
 def one_of_each_bin(rows: DataFrame, key: str, score: str, bins: int = 5) -> DataFrame:
@@ -85,17 +87,28 @@ def sample_per_group(rows: DataFrame, by: str, key: str, k: int, seed: int = 42)
     return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
 
 
+def _hash_places(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Adds rn, the place of each row within its label in hash order, and n, the rows of the label. Rows are dealt by label
+    and the hash's first digits, so a label that most rows have is not one task."""
+    dealt = rows.withColumn("__h", hash_rank(key, seed)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = dealt.groupBy(F.col(label).alias("__label"), F.col("__b").alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy("__label")  # at most 4,096 rows a label
+    before = F.sum("__n").over(own.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__label", "__bucket", F.coalesce(before, F.lit(0)).alias("__o"), F.sum("__n").over(own).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key))
+    placed = dealt.withColumn("__i", inside).join(offsets, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__b") == F.col("__bucket")))
+    return placed.withColumn("rn", F.col("__i") + F.col("__o")).drop("__h", "__b", "__i", "__o", "__label", "__bucket")
+
+
 def balanced_sample(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each label as the rarest has."""
     least = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    order = Window.partitionBy(label).orderBy(hash_rank(key, seed), key)
-    return rows.withColumn("rn", F.row_number().over(order)).join(F.broadcast(least)).where("rn <= least").drop("rn", "least")
+    return _hash_places(rows, label, key, seed).join(F.broadcast(least)).where("rn <= least").drop("rn", "n", "least")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Adds split: 'train' for that share of each label, in hash order, else 'test'."""
-    order = Window.partitionBy(label)
-    ranked = rows.withColumns({"rn": F.row_number().over(order.orderBy(hash_rank(key, seed), key)), "n": F.count(F.lit(1)).over(order)})
+    ranked = _hash_places(rows, label, key, seed)
     return ranked.withColumn("split", F.when(F.col("rn") <= F.round(F.col("n") * share), "train").otherwise("test")).drop("rn", "n")
 
 

@@ -91,6 +91,19 @@ def test_bootstrap_does_not_follow_the_partitions(spark):
     assert lo < 7.8 < hi
 
 
+def test_splits_and_samples_keep_null_labels(spark):
+    rows = spark.createDataFrame([(i, None if i < 10 else "a" if i < 40 else "b") for i in range(100)], "id long, label string")
+    sample = {tuple(r) for r in ranking.balanced_sample(rows, "label", "id").groupBy("label").count().collect()}
+    assert sample == {(None, 10), ("a", 10), ("b", 10)}
+    split = {tuple(r) for r in ranking.stratified_split(rows, "label", "id").where("split = 'train'").groupBy("label").count().collect()}
+    assert split == {(None, 8), ("a", 24), ("b", 48)}
+
+
+def test_quality_range_of_few_rows(spark):
+    rows = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.7)], "id long, q double")
+    assert {(r.id, r.part) for r in ranking.quality_range(rows, "id", "q", 9).collect()} == {(1, "best"), (3, "best")}
+
+
 def test_zero_vectors_and_single_clusters(spark):
     assert one(spark, vx.l2_normalise(F.col("v")), v=[0.0, 0.0]) == [0.0, 0.0]
     rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "id long, cluster int, v array<double>")
