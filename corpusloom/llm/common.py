@@ -18,11 +18,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary folder of this process
-    (local sessions and tests only)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary folder of this process, in
+    local sessions alone. Raises a ValueError on a cluster, where executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master!r})")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
