@@ -215,14 +215,17 @@ def windowed_events(spark, sf_dir):
 
 
 def _folder() -> str:
-    """A folder for a round trip: shared where the session names one."""
+    """A folder for a round trip: in spark.checkpoint.dir, or a temporary one in local sessions alone."""
     from pyspark.sql import SparkSession
 
-    root = SparkSession.getActiveSession().conf.get("spark.checkpoint.dir", None)
+    conf = SparkSession.getActiveSession().conf
+    root, master = conf.get("spark.checkpoint.dir", None), conf.get("spark.master", "")
     if root:
         import uuid
 
         return f"{root.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master!r})")
     folder = tempfile.mkdtemp(prefix="corpusloom-rt-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return f"file://{folder}"
