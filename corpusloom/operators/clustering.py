@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from . import metrics
+from . import blocks, metrics
 from .vectors import centroids
 
 
@@ -84,26 +84,12 @@ def dbscan(rows: DataFrame, eps: float, least: int) -> DataFrame:
     return rows.select("id").join(known, "id", "left").fillna(-1, ["cluster"])
 
 
-def _hdbscan(x: np.ndarray, size: int, samples: int) -> np.ndarray:
-    """Labels by density: core distances (the point itself is its first neighbour), a spanning tree of mutual
-    reachability, the tree condensed at `size`, and the clusters of the greatest excess of mass."""
-    n = len(x)
+def _condensed(edges: list[tuple[float, int, int]], n: int, size: int, leaf: bool, epsilon: float) -> np.ndarray:
+    """Labels of n points by the spanning tree's edges (weight, end, end): the tree condensed at `size` and the clusters
+    of the greatest excess of mass, or its leaves; clusters born below epsilon give way to the first ancestor above it."""
     if n < max(2, size):
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None]) ** 2).sum(-1) if n <= 400 else (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    core = np.partition(d, min(samples, n) - 1, axis=1)[:, min(samples, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    # Prim's spanning tree
-    near, by, done = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool)
-    done[0] = True
-    edges = []
-    for _ in range(n - 1):
-        k = int(np.argmin(np.where(done, np.inf, near)))
-        edges.append((near[k], by[k], k))
-        done[k] = True
-        better = reach[k] < near
-        near[better], by[better] = reach[k][better], k
-    edges.sort()
+    edges = sorted(edges)
     parent, kids, weight, count = list(range(2 * n - 1)), {}, {}, [1] * n + [0] * (n - 1)
 
     def top(i: int) -> int:
@@ -156,7 +142,7 @@ def _hdbscan(x: np.ndarray, size: int, samples: int) -> np.ndarray:
     chosen, best = set(), {}
     for c in sorted(birth, reverse=True):
         below = sum(best[k] for k in under[c])
-        if c != 0 and mass[c] >= below:
+        if c != 0 and (not under[c] if leaf else mass[c] >= below):
             best[c] = mass[c]
             todo = list(under[c])
             while todo:
@@ -166,6 +152,19 @@ def _hdbscan(x: np.ndarray, size: int, samples: int) -> np.ndarray:
             chosen.add(c)
         else:
             best[c] = below
+    if epsilon > 0:
+        risen = set()
+        for c in chosen:
+            while 1 / birth[c] < epsilon and up[c]:
+                c = up[c]
+            risen.add(c)
+        chosen = set()
+        for c in risen:
+            above = up[c]
+            while above and above not in risen:
+                above = up[above]
+            if not above:
+                chosen.add(c)
     label = np.full(n, -1)
     for number, c in enumerate(sorted(chosen)):
         todo = [c]
@@ -176,26 +175,21 @@ def _hdbscan(x: np.ndarray, size: int, samples: int) -> np.ndarray:
     return label
 
 
-def hdbscan(rows: DataFrame, size: int = 10, samples: int | None = None, most: int = 4000, seed: int = 42) -> DataFrame:
-    """id, cluster (-1: noise). Exact on tables of up to `most` rows, as one task. On larger ones it is fitted on a fixed
-    sample of `most`, and every other row goes to the cluster of its nearest sampled row, in a task per part of the
-    table; the sample's size bounds what each task holds."""
-    ranked = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
-    sample = rows.select("id", "v").orderBy(ranked, "id").limit(most).toPandas()
-    x = np.stack(sample["v"]) if len(sample) else np.zeros((0, 1))
-    order = np.argsort(sample["id"].to_numpy(), kind="stable") if len(sample) else np.zeros(0, int)
-    label = np.full(len(x), -1)
-    label[order] = _hdbscan(x[order], size, samples or size)
-    known = dict(zip(sample["id"].tolist(), label.tolist(), strict=True))
-    shared = rows.sparkSession.sparkContext.broadcast((x, label, known))
+def hdbscan(rows: DataFrame, size: int = 10, samples: int | None = None, leaf: bool = False, epsilon: float = 0.0) -> DataFrame:
+    """id, cluster (-1: noise) of all rows: core distances and the spanning tree of mutual reachability by pairs of
+    blocks, the same at every size; the tree is condensed in one task, which holds an edge (two ids and a weight) for
+    each row and no vectors. leaf takes the finest clusters instead of those of the greatest excess of mass; epsilon
+    merges those that part below that distance. Fewer rows than `size`: all noise."""
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def assign(frames):
-        x, label, known = shared.value
-        for f in frames:
-            out = [known[i] if i in known else int(label[np.argmin(((x - np.asarray(v)) ** 2).sum(1))]) for i, v in zip(f["id"], f["v"], strict=True)]
-            yield pd.DataFrame({"id": f["id"], "cluster": out})
+    def cut(edges: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([edges["a"], edges["b"]]), return_inverse=True)
+        tree = list(zip(edges["w"].tolist(), at[: len(edges)].tolist(), at[len(edges) :].tolist(), strict=True))
+        return pd.DataFrame({"id": ids, "cluster": _condensed(tree, len(ids), size, leaf, epsilon)})
 
-    return rows.select("id", "v").mapInPandas(assign, f"id {rows.schema['id'].dataType.simpleString()}, cluster int")
+    tree = blocks.spanning_tree(rows, samples or size)
+    found = tree.withColumn("one", F.lit("all")).groupBy("one").applyInPandas(cut, f"id {kind}, cluster int")
+    return rows.select("id").join(found, "id", "left").fillna(-1, ["cluster"])
 
 
 def merge_clusters(rows: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
@@ -217,8 +211,8 @@ def merge_clusters(rows: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
     return reassign_noise(merged.select("id", "cluster", "v"))
 
 
-def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, sample: int = 2000) -> DataFrame:
-    """k, cost, silhouette for each k; the silhouette is over a fixed sample."""
+def sweep(rows: DataFrame, ks: Sequence[int], seed: int = 42, sample: int | None = None) -> DataFrame:
+    """k, cost, silhouette for each k; the silhouette is over all rows, or over a fixed sample."""
     out = []
     for k in ks:
         assigned, cost, _ = k_means(rows, k, (seed,))
@@ -292,16 +286,22 @@ def vote(choices: Sequence[int], default: int = 8) -> int:
     return int(values[n.argmax()]) if n.max() > 1 else int(np.median(choices))
 
 
-def hdbscan_search(rows: DataFrame, sizes: Sequence[int], most: int = 2000) -> DataFrame:
-    """size, n_clusters, noise_ratio, silhouette (of the rows that are not noise) of each least cluster size, on a fixed
-    sample; the best is the greatest silhouette. Settings without noise count too."""
-    sample = rows.select("id", "v").orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
+def hdbscan_search(rows: DataFrame, sizes: Sequence[int], most: int | None = None) -> DataFrame:
+    """size, n_clusters, noise_ratio, silhouette (of the rows that are not noise), best of each least cluster size, on all
+    rows or a fixed sample of `most`. best marks the greatest silhouette among settings that leave noise and more than
+    one cluster; ties to the smaller size."""
+    sample = rows.select("id", "v")
+    if most is not None:
+        sample = sample.orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
     out = []
     for size in sizes:
-        met = sample.join(hdbscan(sample, size, most=most), "id")
+        met = sample.join(hdbscan(sample, size), "id").persist()
         n, noise = met.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))), F.avg((F.col("cluster") < 0).cast("double"))).first()
         out.append((int(size), int(n), None if noise is None else round(noise, 6), metrics.silhouette(met).first()[0] if n > 1 else None))
-    return rows.sparkSession.createDataFrame(out, "size int, n_clusters int, noise_ratio double, silhouette double")
+        met.unpersist()
+    fit = [r for r in out if r[2] and r[3] is not None]
+    best = max(fit, key=lambda r: (r[3], -r[0]))[0] if fit else None
+    return rows.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], "size int, n_clusters int, noise_ratio double, silhouette double, best boolean")
 
 
 def mixture_clusters(mixture: DataFrame, clusters: Sequence, k: int, seed: int = 42) -> DataFrame:

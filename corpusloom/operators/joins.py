@@ -49,15 +49,32 @@ def prefix_lookup(left: DataFrame, right: DataFrame, text: str, other: str, n: i
     return left.join(key, F.substring(text, 1, n) == F.col("__p"), "left").drop("__p")
 
 
-def fuzzy(left: DataFrame, right: DataFrame, least: float = 0.8, n: int = 100, block: int = 4) -> DataFrame:
+def fuzzy(left: DataFrame, right: DataFrame, least: float = 0.8, n: int = 100) -> DataFrame:
     """Left rows (id, text) with the right row (other, other_text) of the greatest Levenshtein ratio on the first n
-    characters, if it is above `least`; ties to the smaller id. Candidates share the first `block` characters, so the
-    work is a join by block and not of all pairs."""
-    a = left.select("id", F.substring("text", 1, n).alias("x")).withColumn("b", F.substring("x", 1, block))
-    c = right.select("other", F.substring("other_text", 1, n).alias("y")).withColumn("b", F.substring("y", 1, block))
-    ratio = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"), F.lit(1))
-    met = a.join(c, "b").withColumn("ratio", ratio).where(F.col("ratio") > least)
-    return first_by(met, ["id"], [F.col("ratio").desc(), F.col("other")]).select("id", "other", F.round("ratio", 6).alias("ratio"))
+    characters, if it is above `least`; ties to the smaller id. No pair is lost: a ratio above `least` allows k edits at
+    most, so of k + 1 pieces of the right head one stands unchanged in the left head, moved by k places at most. Pieces
+    meet by an equi-join on piece and stretch of places; only distinct heads meet. `least` must be above one half."""
+    if least <= 0.5:
+        raise ValueError("pieces are no bound for ratios of one half and less")
+    heads = lambda d, text, name: d.select(F.substring(text, 1, n).alias(name)).where(F.col(name).isNotNull()).distinct()
+    m = F.length("y")
+    k = F.floor((1 - least) * F.least(F.lit(n), F.greatest(m, F.floor(m / least))) + 1e-9).cast("int")
+    width = int((1 - least) * n + 1e-9) + 1  # a stretch of places; k is below it, so a piece moves to the next stretch at most
+    sized = heads(right, "other_text", "y").withColumn("k", k).withColumn("q", F.floor(m / (F.col("k") + 1)).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(F.substr("y", i * F.col("q") + 1, F.col("q")).alias("piece"), F.floor(i * F.col("q") / width).cast("int").alias("at")))
+    pieces = sized.select("y", "k", F.explode(F.array_distinct(cut)).alias("p")).select("y", "k", "p.piece", "p.at")
+    longest = max(j // (int((1 - least) * min(n, int(j / least)) + 1e-9) + 1) for j in range(1, n + 1))
+    places = F.sequence(F.lit(0), F.greatest(F.length("x") - 1, F.lit(0)))
+    asked = F.flatten(F.transform(places, lambda p: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda q: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda t: F.struct(F.substr("x", p + 1, q).alias("piece"), (F.floor(p / width) + t).cast("int").alias("at")))))))
+    asked = F.filter(F.array_distinct(asked), lambda s: (s.at >= 0) & ((F.length(s.piece) > 0) | (F.length("x") == 0)))
+    probes = heads(left, "text", "x").select("x", F.explode(asked).alias("p")).select("x", "p.piece", "p.at")
+    longer = F.greatest(F.length("x"), F.length("y"), F.lit(1))
+    near = F.abs(F.length("x") - F.length("y")) <= F.col("k")
+    met = probes.join(pieces, ["piece", "at"]).where(near).select("x", "y").distinct()
+    met = met.withColumn("ratio", 1 - F.levenshtein("x", "y") / longer).where(F.col("ratio") > least)
+    first = right.groupBy(F.substring("other_text", 1, n).alias("y")).agg(F.min("other").alias("other"))
+    best = met.join(first, "y").groupBy("x").agg(F.min_by(F.struct("other", "ratio"), F.struct(-F.col("ratio"), F.col("other"))).alias("best"))
+    return left.select("id", F.substring("text", 1, n).alias("x")).join(best, "x").select("id", "best.other", F.round("best.ratio", 6).alias("ratio"))
 
 
 def cross_pairs(scored: DataFrame, partners: int = 3) -> DataFrame:

@@ -129,7 +129,7 @@ def merge_micro_clusters(spark, sf_dir):
 
 @query()
 def k_sweep(spark, sf_dir):
-    return clustering.sweep(_rows(spark, sf_dir), [4, 8, 12], sample=300)
+    return clustering.sweep(_rows(spark, sf_dir), [4, 8, 12])
 
 
 @query()
@@ -298,12 +298,12 @@ def pipeline_comparison(spark, sf_dir):
 
 @query()
 def perturbation_stability(spark, sf_dir):
-    return metrics.perturbed_silhouette(_rows(spark, sf_dir), rounds=1, most=200)
+    return metrics.perturbed_silhouette(_rows(spark, sf_dir), rounds=1, most=None)
 
 
 @query()
 def hdbscan_search(spark, sf_dir):
-    return clustering.hdbscan_search(_rows(spark, sf_dir), [3, 8], most=400)
+    return clustering.hdbscan_search(_rows(spark, sf_dir), [3, 8])
 
 
 @query()
@@ -311,7 +311,7 @@ def mixture_k_means(spark, sf_dir):
     from ..operators import aggregates
 
     mix = aggregates.mixture(table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("cluster")))
-    return clustering.mixture_clusters(mix, ["click", "view", "purchase"], 4)
+    return clustering.mixture_clusters(mix, ["click", "view", "purchase", "error", "signup"], 4)
 
 
 @query("SELECT CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'completed' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")

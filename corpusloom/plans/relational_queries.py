@@ -23,10 +23,9 @@ def ordered_concat(spark, sf_dir):
     return ag.ordered_concat(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text")
 
 
-@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY user_id")
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'signup') AS signup FROM events GROUP BY user_id")
 def crosstab_events(spark, sf_dir):
-    kinds = ["click", "view", "purchase"]
-    return ag.crosstab(table(spark, sf_dir, "events").where(F.col("event_type").isin(kinds)), "user_id", "event_type", kinds)
+    return ag.crosstab(table(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view", "purchase", "error", "signup"])
 
 
 @query(f"SELECT count(*) FILTER (alone) AS isolates, count(*) AS papers, round(100 * count(*) FILTER (alone) / count(*)::DOUBLE, 6) AS percent FROM (SELECT paper_id, bool_and(cluster = -1) AS alone FROM ({ASSIGN}) GROUP BY paper_id)")
@@ -229,15 +228,19 @@ def prefix_lookup(spark, sf_dir):
     return joins.prefix_lookup(d.select("doc_id", "text"), d.select(F.col("doc_id").alias("id"), F.col("text").alias("other")), "text", "other").select("doc_id", "match_id")
 
 
-@query("""
-WITH m AS (SELECT a.doc_id AS id, b.item_id AS other, 1 - levenshtein(substr(a.text, 1, 100), substr(b.text, 1, 100)) / greatest(length(substr(a.text, 1, 100)), length(substr(b.text, 1, 100)), 1)::DOUBLE AS r
-  FROM documents a JOIN benchmark b ON substr(a.text, 1, 3) = substr(b.text, 1, 3))
-SELECT id, other, round(r, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r DESC, other) AS rn FROM m WHERE r > 0.305) WHERE rn = 1
+_HEADS = "SELECT DISTINCT substr(text, 1, 100) AS x FROM documents"
+
+
+@query(f"""
+WITH h AS ({_HEADS}), o AS (SELECT substr(replace(text, 'a', 'o'), 1, 100) AS y, min(doc_id) AS other FROM documents GROUP BY 1),
+  m AS (SELECT x, other, 1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::DOUBLE AS r FROM h, o),
+  b AS (SELECT x, other, r, row_number() OVER (PARTITION BY x ORDER BY r DESC, other) AS rn FROM m WHERE r > 0.8)
+SELECT d.doc_id AS id, other, round(r, 6) AS ratio FROM documents d JOIN b ON substr(d.text, 1, 100) = x WHERE rn = 1
 """)
 def fuzzy_join(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("other"), F.col("text").alias("other_text"))
-    return joins.fuzzy(d, b, 0.305, block=3)
+    """Every document against all documents with each a misspelt as o."""
+    d = table(spark, sf_dir, "documents")
+    return joins.fuzzy(d.select(F.col("doc_id").alias("id"), "text"), d.select(F.col("doc_id").alias("other"), F.replace("text", F.lit("a"), F.lit("o")).alias("other_text")), 0.8)
 
 
 @query("SELECT e.event_id, coalesce(c.c_name, '?') AS name, c.c_custkey IS NOT NULL AS hit FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey")
@@ -262,9 +265,9 @@ def pair_dedup(spark, sf_dir):
     return e.union(e.select("b", "a")).groupBy(joins.unordered_key("a", "b").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c.label AS cluster_id, string_agg(d.doc_id || ':' || coalesce(l.quality::VARCHAR, 'Abstract not found'), ',' ORDER BY c.vec_id) AS papers FROM embeddings c JOIN documents d ON c.vec_id = d.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE c.vec_id < 200 GROUP BY 1")
+@query("SELECT c.label AS cluster_id, string_agg(d.doc_id || ':' || coalesce(l.quality::VARCHAR, 'Abstract not found'), ',' ORDER BY c.vec_id) AS papers FROM embeddings c JOIN documents d ON c.vec_id = d.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
 def gather_abstracts(spark, sf_dir):
-    picked = table(spark, sf_dir, "embeddings").where("vec_id < 200").groupBy(F.col("label").alias("cluster_id")).agg(F.collect_list("vec_id").alias("picked"))
+    picked = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.collect_list("vec_id").alias("picked"))
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.col("doc_id").alias("paper_id"))
     texts = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").cast("string").alias("abstract"))
     out = joins.gather(picked, meta, texts)

@@ -257,10 +257,9 @@ def prompt_block(spark, sf_dir):
     return texts.select("conv_id", tx.numbered_block(F.col("texts"), 60).alias("prompt"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 60), 'th', '[MASK]', 'g') AS masked FROM documents WHERE len(regexp_extract_all(substr(text, 1, 60), 'th')) <= 5")
+@query("SELECT doc_id, array_to_string(p[1:6], '[MASK]') || CASE WHEN len(p) > 6 THEN 'th' || array_to_string(p[7:], 'th') ELSE '' END AS masked FROM (SELECT doc_id, string_split(text, 'th') AS p FROM documents)")
 def span_mask(spark, sf_dir):
-    head = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").where(F.regexp_count(head, F.lit("th")) <= 5).select("doc_id", tx.span_mask(head, "th").alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.span_mask(F.col("text"), "th").alias("masked"))
 
 
 @query("SELECT event_id, user_id || '|' || event_type || '|' || (event_id % 7) AS key, replace('a/' || event_type, '/', '_') AS safe_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 END AS code FROM events")
