@@ -121,3 +121,15 @@ def importance(rows: DataFrame) -> DataFrame:
     return t.select("pos", F.round(f, 6).alias("f"), F.round(F.col("b") / (F.col("b") + F.col("w")), 6).alias("ratio"))
 
 
+
+
+def hashed_embedding(rows: DataFrame, doc: str, tokens: str, dims: int = 256) -> DataFrame:
+    """id, v: documents as vectors of length 1, the default in place of a sentence model: each token adds one, with a sign,
+    at a place that its MD5 names. Documents without tokens give zeros."""
+    h = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 7), 16, 10).cast("long")
+    cells = rows.select(doc, F.explode(tokens).alias("t")).select(doc, (h % dims).cast("int").alias("pos"), (1 - 2 * (F.floor(h / dims) % 2)).alias("x"))
+    sums = cells.groupBy(doc, "pos").agg(F.sum("x").cast("double").alias("x"))
+    held = sums.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    norm = F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
+    at = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)) / norm
+    return rows.select(F.col(doc)).join(held, doc, "left").select(F.col(doc).alias("id"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), at).alias("v"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -24,13 +25,31 @@ def logistic_scorer(features: int = 1 << 12, rounds: int = 20) -> Scorer:
     """The default slot: (train with label, rows) -> rows with predicted and confidence, by hashed words and logistic
     regression."""
 
-    def run(train: DataFrame, rows: DataFrame) -> DataFrame:
-        words = lambda d: d.withColumn("words", tx.tokens(F.col("text")))
-        model = Pipeline(stages=[HashingTF(inputCol="words", outputCol="features", numFeatures=features), LogisticRegression(maxIter=rounds, regParam=0.01)]).fit(words(train))
-        p = vector_to_array("probability")
-        return model.transform(words(rows)).withColumns({"predicted": vx.argmax(p), "confidence": F.array_max(p)}).drop("words", "features", "rawPrediction", "probability", "prediction")
+    return lambda train, rows: classify(fit_logistic(train, features, rounds), rows)
 
-    return run
+
+def fit_logistic(train: DataFrame, features: int = 1 << 12, rounds: int = 20) -> PipelineModel:
+    """A model of label by the hashed words of text."""
+    stages = [HashingTF(inputCol="words", outputCol="features", numFeatures=features), LogisticRegression(maxIter=rounds, regParam=0.01)]
+    return Pipeline(stages=stages).fit(train.withColumn("words", tx.tokens(F.col("text"))))
+
+
+def classify(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows with predicted and confidence."""
+    p = vector_to_array("probability")
+    scored = model.transform(rows.withColumn("words", tx.tokens(F.col("text"))))
+    return scored.withColumns({"predicted": vx.argmax(p), "confidence": F.array_max(p)}).drop("words", "features", "rawPrediction", "probability", "prediction")
+
+
+def save_model(model: PipelineModel, config: Mapping[str, object], path: str) -> None:
+    """The model and its configuration (values that JSON holds) in one folder, over what is there."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(dict(config), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/config").first().value)
 
 
 def pseudo_label(train: DataFrame, pool: DataFrame, scorer: Scorer, keep: Callable[[DataFrame, int], DataFrame], threshold: float = 0.95, least: int = 1, most: int | None = None, rounds: int = 3) -> DataFrame:

@@ -339,3 +339,30 @@ def chunk_folder_scan(spark, sf_dir):
     for c in range(3):
         rows.where(F.col("id") % 3 == c).write.parquet(f"{path}/chunk_{c:04d}")
     return readers.chunk_folders(spark, path).select("id", F.col("chunk").cast("long").alias("chunk"), F.size("v").cast("long").alias("dim"))
+
+
+@query("SELECT doc_id AS id, max(quality) AS label FROM labels GROUP BY 1")
+def label_sink_round_trip(spark, sf_dir):
+    path = f"{_folder()}/labels"
+    readers.write_pairs(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), path, "id", "label")
+    return spark.read.parquet(path)
+
+
+@query("SELECT doc_id::VARCHAR AS key, array_to_string(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\\-]+'), ' ') AS chunks FROM documents")
+def token_sink_round_trip(spark, sf_dir):
+    path = f"{_folder()}/tokens"
+    found = F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_\-]+"), F.lit(0))
+    readers.write_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), found.alias("chunks")), path, "key", "chunks")
+    return spark.read.parquet(path).select("key", F.array_join("chunks", " ").alias("chunks"))
+
+
+@query("SELECT doc_id, true AS same, 512 AS features FROM documents")
+def model_round_trip(spark, sf_dir):
+    """Whether a model says the same of every document once it was saved and loaded, and what its configuration says."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{_folder()}/model"
+    train = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
+    model = loops.fit_logistic(train, 512, 5)
+    loops.save_model(model, {"features": 512, "rounds": 5}, path)
+    loaded, config = loops.load_model(spark, path)
+    said = lambda m, name: loops.classify(m, docs).select("doc_id", F.struct("predicted", "confidence").alias(name))
+    return said(model, "a").join(said(loaded, "b"), "doc_id").select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"), F.lit(config["features"]).alias("features"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import metrics, terms
+from ..operators import features, metrics, terms
 from ..operators import vectors as vo
 from ..sources.tables import table
 from .registry import query
@@ -272,3 +272,47 @@ def keyword_coherence(spark, sf_dir):
 def mean_tfidf_terms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", tx.tokens(F.col("text")).alias("tokens"))
     return terms.top_terms(terms.mean_tf_idf(docs, "doc_id", "lang", "tokens"), "lang", 5)
+
+
+_WORDS = "SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_\\-]+'), lambda x: lower(x)), lambda x: length(x) > 2) AS t FROM documents"
+_PAIRS = "list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])"
+
+
+def _words(spark, sf_dir, *columns):
+    return table(spark, sf_dir, "documents").select("doc_id", *columns, tx.tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""
+WITH u AS (SELECT doc_id, unnest(t) AS a, generate_subscripts(t, 1) AS p FROM ({_WORDS})),
+  l AS (SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+  c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, a AS term FROM l UNION ALL SELECT doc_id, a || ' ' || b FROM l UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c FROM l) WHERE term IS NOT NULL GROUP BY 1, 2),
+  d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+  w AS (SELECT doc_id, term, n * (ln((1 + (SELECT count(DISTINCT doc_id) FROM c)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN d USING (term)),
+  x AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS score FROM w)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM x) WHERE rank <= 10
+""")
+def keyphrases(spark, sf_dir):
+    return terms.keyphrases(_words(spark, sf_dir), "doc_id", "tokens")
+
+
+@query(f"""
+WITH g AS (SELECT source, doc_id, unnest(list_concat(t, {_PAIRS})) AS term FROM ({_WORDS})), c AS (SELECT source, doc_id, term, count(*) AS n FROM g GROUP BY ALL),
+  h AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 10),
+  s AS (SELECT source, 1 + least(count(*), 10) AS d FROM documents GROUP BY 1 HAVING count(*) > 1),
+  o AS (SELECT source, term, sum(n) AS n, sum(CASE WHEN h.doc_id IS NULL THEN n ELSE 2 * n END) AS every, 1 + count(h.doc_id) AS df FROM c LEFT JOIN h ON c.doc_id = h.doc_id GROUP BY 1, 2),
+  k AS (SELECT source, term, n * (ln((1 + d) / (1 + df)::DOUBLE) + 1) AS w, row_number() OVER (PARTITION BY source ORDER BY every DESC, term) AS rn FROM o JOIN s USING (source) WHERE df <= 0.8 * d),
+  x AS (SELECT source, term, w / sqrt(sum(w * w) OVER (PARTITION BY source)) AS score FROM k WHERE rn <= 1000)
+SELECT source, term, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, term) AS rank FROM x) WHERE rank <= 3
+""")
+def class_keywords(spark, sf_dir):
+    return terms.class_keywords(_words(spark, sf_dir, "source"), "source", "doc_id", "tokens")
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, ('0x' || substr(md5(x), 1, 7))::BIGINT AS h FROM (SELECT doc_id, unnest(t) AS x FROM ({_WORDS}))),
+  s AS (SELECT doc_id, (h % 256)::INT AS pos, sum(1 - 2 * ((h // 256) % 2))::DOUBLE AS x FROM h GROUP BY 1, 2)
+SELECT doc_id AS id, pos, round(x / norm, 6) AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS norm FROM s) WHERE x <> 0
+""")
+def hashed_embedding(spark, sf_dir):
+    v = features.hashed_embedding(_words(spark, sf_dir), "doc_id", "tokens")
+    return v.select("id", F.posexplode("v").alias("pos", "x")).where("x <> 0").select("id", "pos", F.round("x", 6).alias("x"))

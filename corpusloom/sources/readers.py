@@ -206,6 +206,13 @@ def write_texts(rows: DataFrame, path: str) -> int:
     return n
 
 
+def write_pairs(rows: DataFrame, path: str, key: str, value: str) -> None:
+    """A store of key and value (labels, tokens): Parquet in ranges of the key, sorted, so that a lookup reads few row
+    groups. The greatest value stands for a repeated key; rows without a key are left out."""
+    one = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+    one.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
 def tokens_or_else(rows: DataFrame, store: DataFrame, make) -> DataFrame:
     """chunks of each row by key from a store (key, chunks), computed where the store lacks them."""
     return rows.join(store, "key", "left").withColumn("chunks", F.coalesce("chunks", make))
