@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.operators import blocks, clustering, joins, metrics
+from corpusloom.operators import blocks, clustering, joins, metrics, vectors
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +117,38 @@ def test_fuzzy_loses_no_pair(spark):
         assert {r.id: r.other for r in joins.fuzzy(left, right, least).collect()} == want
     with pytest.raises(ValueError):
         joins.fuzzy(left, right, 0.5)
+
+
+def test_tasks_of_blocks_hold_no_pairs(spark, points):
+    """Pairs stay in their task: nothing is joined row by row, so a cluster's pairs are no rows of any plan."""
+    rows = _rows(spark, points, np.arange(len(points)) % 2)
+    for df in (vectors.pair_statistics(rows), vectors.separation(rows), clustering.near_pairs(rows, 1.0)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "(id" not in "".join(line for line in plan.splitlines() if "Join" in line), plan
+
+
+@pytest.mark.parametrize("width", [16, 50])
+def test_pairs_within_a_distance(spark, points, width, monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", 7)
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    want = {(i * 7, j * 7) for i in range(len(points)) for j in range(i + 1, len(points)) if d[i, j] <= 0.4}
+    got = blocks.near(_rows(spark, points), 0.4, width).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert all(r.d == pytest.approx(d[r.a // 7, r.b // 7]) for r in got)
+
+
+@pytest.mark.parametrize("own", [8, 4096])
+def test_quartiles_of_pairs_by_cells(spark, points, own, monkeypatch):
+    monkeypatch.setattr(blocks.in_clusters, "__defaults__", (own,))
+    monkeypatch.setattr(blocks, "TILE", 5)
+    x = np.concatenate([points, np.ones((30, 3))])  # thirty copies: many pairs of one cosine
+    cluster = np.arange(len(x)) % 3
+    got = {r.cluster: r for r in vectors.pair_statistics(_rows(spark, x, cluster)).collect()}
+    far = []
+    for c in range(3):
+        u = x[cluster == c] / np.linalg.norm(x[cluster == c], axis=1, keepdims=True)
+        s = (u @ u.T)[np.triu_indices(len(u), 1)]
+        far.append(np.sqrt(((x[cluster == c][:, None] - x[cluster == c][None]) ** 2).sum(-1))[np.triu_indices(len(u), 1)])
+        want = [s.mean(), s.std(), s.min(), s.max(), np.quantile(s, 0.25), np.quantile(s, 0.75)]
+        assert [got[c][k] for k in ("mean", "std", "min", "max", "q25", "q75")] == pytest.approx(want, abs=2e-6)
+    assert vectors.separation(_rows(spark, x, cluster)).first().mean_intra == pytest.approx(np.concatenate(far).mean(), abs=2e-6)
