@@ -144,9 +144,11 @@ def extractive_fragments(summary: Column, source: Column) -> tuple[Column, Colum
 
 
 def cluster_label(cluster: Column, keywords: Column, size: Column) -> Column:
-    """'3_kw1_kw2_kw3_n=12', and '-1_Noise' for noise."""
+    """'3_kw1_kw2_kw3_n=12', and '-1_Noise' for noise; '3_n=12' without keywords, an empty keyword being one. Null if any
+    part is."""
     joined = F.array_join(F.slice(keywords, 1, 3), "_")
-    return F.when(cluster == -1, F.lit("-1_Noise")).otherwise(F.concat_ws("_", cluster.cast("string"), F.when(joined != "", joined), F.concat(F.lit("n="), size.cast("string"))))
+    known = cluster.isNotNull() & keywords.isNotNull() & size.isNotNull()
+    return F.when(cluster == -1, F.lit("-1_Noise")).when(known, F.concat_ws("_", cluster.cast("string"), F.when(F.size(keywords) > 0, joined), F.concat(F.lit("n="), size.cast("string"))))
 
 
 def numbered_block(texts: Column, limit: int) -> Column:
