@@ -224,7 +224,8 @@ def bootstrap_ci(rows: DataFrame, key: str, value: str, rounds: int = 1000, seed
     one aggregation gives all rounds' means, the same ones however the rows are dealt. Rows of equal or null key share
     their draws; null values stay out."""
     valid = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("i"))
-    each = valid.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    parts = max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number: few bytes and much work, so rows leave the one file they come in
+    each = valid.repartition(parts, "i", "v").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     u = F.conv(F.substring(F.md5(F.concat("i", F.lit(":"), F.col("round").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     acc, p, weight = math.exp(-1), math.exp(-1), F.lit(0)
     for k in range(1, 8):
