@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import clustering, metrics
+from corpusloom.operators import clustering, joins, metrics
 from corpusloom.operators import vectors as vo
 
 
@@ -54,3 +54,12 @@ def test_fragments_search_a_word_once(spark):
     df = rows.select(F.round(coverage, 6).alias("c"), F.round(density, 6).alias("d"))
     assert (df.first().c, df.first().d) == (0.8, 2.0)
     assert "array_distinct" in _plan(df)
+
+
+def test_steps_of_a_fuzzy_join_change_nothing(spark, monkeypatch):
+    left = spark.createDataFrame([(1, "abcdefghij" * 3), (2, "zz"), (3, "abcdefghix" * 3), (4, "")], "id long, text string")
+    right = spark.createDataFrame([(9, "abcdefghij" * 3), (5, "abcdefghxx" * 3), (7, "abcdefghij" * 3), (6, "zy")], "other long, other_text string")
+    met = lambda: {r.id: (r.other, r.ratio) for r in joins.fuzzy(left, right, 0.8).collect()}
+    stepped = met()
+    monkeypatch.setattr(joins, "STEPS", ())
+    assert stepped == met() == {1: (7, 1.0), 3: (5, 0.9)}
