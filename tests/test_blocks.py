@@ -152,3 +152,9 @@ def test_quartiles_of_pairs_by_cells(spark, points, own, monkeypatch):
         want = [s.mean(), s.std(), s.min(), s.max(), np.quantile(s, 0.25), np.quantile(s, 0.75)]
         assert [got[c][k] for k in ("mean", "std", "min", "max", "q25", "q75")] == pytest.approx(want, abs=2e-6)
     assert vectors.separation(_rows(spark, x, cluster)).first().mean_intra == pytest.approx(np.concatenate(far).mean(), abs=2e-6)
+
+
+def test_blocks_are_few(spark, points):
+    assert [-(-n // blocks._wide(n, blocks.WIDE)) for n in (10_000, 100_000, 615_000)] == [8, 8, 19]
+    plan = blocks.cluster_sums(_rows(spark, points, np.arange(len(points)) % 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "__task" in plan  # a task for every two blocks
