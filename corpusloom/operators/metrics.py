@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import vectors as vx
 from . import blocks
 from .ranking import value_ranks
+from .terms import once
 from .vectors import centroid_pairs, centroids, to_centroid
 
 
@@ -185,14 +189,43 @@ def mann_whitney(rows: DataFrame, group: str, value: str, first, second) -> Data
 
 def rouge_n(rows: DataFrame, n: int) -> DataFrame:
     """id, precision, recall, f1 of the n-grams (as multisets, lower-cased words of letters and digits) of summary
-    against reference."""
+    against reference. Both texts of a row are counted where it is read, and only the summary's n-grams are looked up;
+    rows that share an id are counted together, by a shuffle."""
+    t = _rouge_rows(rows, n) if once(rows, ["id"]) else _rouge_groups(rows, n)
+    p, q = F.when(F.col("s") > 0, F.col("hit") / F.col("s")).otherwise(0.0), F.when(F.col("r") > 0, F.col("hit") / F.col("r")).otherwise(0.0)
+    return t.select("id", F.round(p, 6).alias("precision"), F.round(q, 6).alias("recall"), F.round(F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0), 6).alias("f1"))
+
+
+def _rouge_rows(rows: DataFrame, n: int) -> DataFrame:
+    """id, hit, s, r: common n-grams and those of either side, of rows with n-grams."""
+    find = re.compile("[a-z0-9]+").findall
+    grams = lambda x: list(zip(*[w[k:] for w in [find(x.lower()) if x else []] for k in range(n)], strict=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[str, tuple[int, Counter]] = {}  # of the last batch's summaries
+        for batch in batches:
+            out, old, sides = [], sides, {}
+            for x, y in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                if x not in sides:
+                    own = old.get(x)
+                    sides[x] = own or (len(g := grams(x)), Counter(g))
+                (s, own), other = sides[x], grams(y)
+                seen = Counter(g for g in other if g in own)
+                out.append((sum(min(k, own[g]) for g, k in seen.items()), s, len(other)))
+            hit, s, r = (pa.array(c, pa.int64()) for c in zip(*out, strict=True)) if out else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), hit, s, r], ["id", "hit", "s", "r"])
+
+    found = rows.select("id", "summary", "reference").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hit long, s long, r long")
+    return found.where("s > 0 OR r > 0")
+
+
+def _rouge_groups(rows: DataFrame, n: int) -> DataFrame:
+    """The same of ids that several rows share."""
     toks = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
     side = lambda c, name: rows.select("id", toks(F.col(c)).alias("w")).where(F.size("w") >= n).select("id", F.explode(grams(F.col("w"))).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias(name))
     met = side("summary", "s").join(side("reference", "r"), ["id", "g"], "full")
-    t = met.groupBy("id").agg(F.sum(F.least(F.coalesce("s", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("hit"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("r"), F.lit(0)).alias("r"))
-    p, q = F.when(F.col("s") > 0, F.col("hit") / F.col("s")).otherwise(0.0), F.when(F.col("r") > 0, F.col("hit") / F.col("r")).otherwise(0.0)
-    return t.select("id", F.round(p, 6).alias("precision"), F.round(q, 6).alias("recall"), F.round(F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0), 6).alias("f1"))
+    return met.groupBy("id").agg(F.sum(F.least(F.coalesce("s", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("hit"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("r"), F.lit(0)).alias("r"))
 
 
 def rouge_l(rows: DataFrame) -> DataFrame:
