@@ -29,3 +29,36 @@ def test_rouge_is_counted_where_it_is_read(spark, rows):
         assert Counter(metrics._rouge_rows(both, n).collect()) == Counter(metrics._rouge_groups(both, n).select("id", "hit", "s", "r").collect())
     twice = spark.createDataFrame([(1, "a b", "a c"), (1, "c", "b")], "id long, summary string, reference string")
     assert [tuple(r) for r in metrics.rouge_n(twice, 1).collect()] == [(1, 1.0, 1.0, 1.0)]
+
+
+def test_counts_of_texts(spark, rows):
+    tokens = rows.select("id", "c", text.tokens(F.col("text")).alias("t"))
+    for by in ("id", "c"):
+        want = Counter(terms.counts(tokens, by, "t").collect())
+        assert Counter(terms.text_counts(rows, [by], "text").collect()) == want and want
+        pairs = tokens.select(by, terms.bigrams(F.col("t")).alias("t"))
+        assert Counter(terms.text_counts(rows, [by], "text", 2).collect()) == Counter(terms.counts(pairs, by, "t").collect())
+    once = tokens.select("c", F.array_distinct("t").alias("t"))
+    assert Counter(terms.text_counts(rows, ["c"], "text", repeats=False).collect()) == Counter(terms.counts(once, "c", "t").collect())
+    assert "Aggregate" not in _plan(terms.text_counts(rows, ["id"], "text"))  # each document is one row
+
+
+@pytest.mark.parametrize("many", [0, 2, 500_000])
+def test_weights_by_frequent_and_rare_terms(spark, rows, many, monkeypatch):
+    monkeypatch.setattr(terms, "MANY", many)
+    count = terms.counts(rows.select("id", text.tokens(F.col("text")).alias("t")), "id", "t")
+    want = Counter(terms.tf_idf(count, "id").collect())
+    assert Counter(terms.text_tf_idf(rows, "id", "text").collect()) == want and want
+    twice = rows.withColumn("id", F.col("id") % 3)  # documents of several rows
+    count = terms.counts(twice.select("id", text.tokens(F.col("text")).alias("t")), "id", "t")
+    assert Counter(terms.text_tf_idf(twice, "id", "text").collect()) == Counter(terms.tf_idf(count, "id").collect())
+    assert "Window" in _plan(terms.text_tf_idf(rows, "id", "text")) and "Generate explode" not in _plan(terms.text_tf_idf(rows, "id", "text"))
+
+
+def test_association_from_counts(spark, rows):
+    d = rows.where(F.col("text").rlike("[A-Za-z]"))
+    long = d.select("id", "c", F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower)).alias("term"))
+    both = terms.text_counts(d, ["c"], "text", word="[A-Za-z]+", repeats=False)
+    got = aggregates.pmi_of_counts(both, d.groupBy("c").agg(F.count(F.lit(1)).alias("fdf")), "term", "c", 1, 0.0)
+    want = Counter(aggregates.pmi(long, "id", "term", "c", 1, 0.0).collect())
+    assert Counter(got.collect()) == want and want
