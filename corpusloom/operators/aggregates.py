@@ -167,6 +167,17 @@ def pmi(rows: DataFrame, doc: str, term: str, family: str, least_df: int = 2, le
     terms = rows.select(doc, term).distinct().groupBy(term).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
     fams = rows.select(doc, family).distinct().groupBy(family).agg(F.count(F.lit(1)).alias("fdf"))
     both = rows.select(doc, term, family).distinct().groupBy(term, family).agg(F.count(F.lit(1)).alias("co"))
-    met = both.join(terms, term).join(fams, family).join(F.broadcast(n))
+    return _pmi(both.join(terms, term).join(fams, family).join(F.broadcast(n)), term, family, least)
+
+
+def pmi_of_counts(both: DataFrame, fams: DataFrame, term: str, family: str, least_df: int = 2, least: float = 0.0) -> DataFrame:
+    """The same of documents of one family each: both (term, family, n documents) and fams (family, fdf documents)."""
+    both = both.select(term, family, F.col("n").alias("co")).persist()  # read twice
+    terms = both.groupBy(term).agg(F.sum("co").alias("df")).where(F.col("df") >= least_df)
+    fams = fams.where(F.col(family).isNotNull()).crossJoin(F.broadcast(fams.agg(F.sum("fdf").alias("total"))))
+    return _pmi(both.join(terms, term).join(F.broadcast(fams), family), term, family, least)
+
+
+def _pmi(met: DataFrame, term: str, family: str, least: float) -> DataFrame:
     value = F.log2(F.col("co") * F.col("total") / (F.col("df") * F.col("fdf")))
     return met.withColumn("pmi", F.round(value, 6)).where(F.col("pmi") >= least).select(term, family, "df", "co", "pmi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
-from ..operators import clusters, filters, joins, ranking
+from ..operators import clusters, filters, joins, ranking, terms
 from ..sources.tables import assignments, table
 from .profile_queries import ASSIGN
 from .registry import query
@@ -183,8 +183,11 @@ SELECT term, family, df, co, round(log2(co * total / (df * fdf)::DOUBLE), 6) AS
 """)
 def lexicon_pmi(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    r = d.select("doc_id", F.col("lang").alias("family"), F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower)).alias("term"))
-    return ag.pmi(r, "doc_id", "term", "family", 20, 1.0)
+    d = d.select("doc_id", F.col("lang").alias("family"), "text").where(F.col("text").rlike("[A-Za-z]"))  # those with a term
+    if not terms.once(d.select("doc_id"), ["doc_id"]):
+        return ag.pmi(terms.text_counts(d, ["doc_id", "family"], "text", word="[A-Za-z]+"), "doc_id", "term", "family", 20, 1.0)
+    both = terms.text_counts(d, ["family"], "text", word="[A-Za-z]+", repeats=False)
+    return ag.pmi_of_counts(both, d.groupBy("family").agg(F.count(F.lit(1)).alias("fdf")), "term", "family", 20, 1.0)
 
 
 # joins
