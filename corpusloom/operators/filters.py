@@ -58,7 +58,7 @@ def confident(scored: DataFrame, threshold: float, least: int | None = None, mos
     """Rows of a confidence above the threshold. With `least`: none at all if there are fewer; with `most`: the most
     confident (ties by doc_id)."""
     rows = scored.where(F.col("confidence") > threshold)
-    if least is not None:
+    if least is not None and least > 1:  # one row or none: nothing to count, which would score all rows again
         enough = rows.agg((F.count(F.lit(1)) >= least).alias("enough"))
         rows = rows.join(F.broadcast(enough.where("enough")), how="cross").drop("enough")
     if most is not None:
