@@ -62,3 +62,10 @@ def test_association_from_counts(spark, rows):
     got = aggregates.pmi_of_counts(both, d.groupBy("c").agg(F.count(F.lit(1)).alias("fdf")), "term", "c", 1, 0.0)
     want = Counter(aggregates.pmi(long, "id", "term", "c", 1, 0.0).collect())
     assert Counter(got.collect()) == want and want
+
+
+def test_keyphrases_of_texts(spark, rows):
+    want = Counter(terms.keyphrases(rows.select("id", text.tokens(F.col("text")).alias("t")), "id", "t").collect())
+    got = terms.text_keyphrases(rows, "id", "text")
+    assert Counter(got.collect()) == want and want
+    assert "Generate explode" not in _plan(got)
