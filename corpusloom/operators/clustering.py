@@ -16,6 +16,9 @@ from . import blocks, metrics
 from .vectors import centroids
 
 
+ONE_TASK = 1_000_000  # links that one task may hold
+
+
 def _features(rows: DataFrame) -> DataFrame:
     return rows.select("id", "v", array_to_vector("v").alias("features"))
 
@@ -53,30 +56,53 @@ def near_pairs(rows: DataFrame, eps: float) -> DataFrame:
     return blocks.near(rows, eps)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The table computed once: in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _smallest(links: DataFrame) -> DataFrame:
+    """id, cluster: the smallest id that links (id, other) reach, of every id that has a link to another. Rounds link the
+    larger neighbours of a row, then the smaller ones, to the smallest; they end when a round changes nothing, or when no
+    more than ONE_TASK links are left, which one task can finish."""
+    kind = links.schema["id"].dataType.simpleString()
+
+    def finish(edges: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+        label = np.arange(len(ids))
+        blocks.merge(label, at[: len(edges)], at[len(edges) :])
+        return pd.DataFrame({"id": ids, "cluster": ids[label]})
+
+    edges, before = _kept(links.where("id <> other").select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()), None
+    while True:
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if state[0] <= ONE_TASK:
+            return edges.withColumn("one", F.lit("all")).groupBy("one").applyInPandas(finish, f"id {kind}, cluster {kind}")
+        if state == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("cluster")).union(edges.select("v", "v").distinct())
+        both = edges.union(edges.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, before = _kept(small.union(least).distinct()), state
+
+
 def dbscan(rows: DataFrame, eps: float, least: int) -> DataFrame:
     """id, cluster: -1 for noise; clusters carry the smallest id of their core points. Core points have `least`
-    neighbours, themselves included; a border point joins its nearest core point's cluster. Labels spread along core
-    pairs to their smallest, doubling pointers each round."""
-    pairs = near_pairs(rows, eps).persist()  # read by every step below
-    both = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d")).toDF("a", "b", "d")
-    core = both.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
-    if least <= 1:
-        core = rows.select("id")
-    links = both.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b").persist()
-    label = core.select("id", F.col("id").alias("cluster"))
-    while True:
-        heard = links.join(label.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("m"))
-        new = label.join(heard, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
-        jump = new.select(F.col("id").alias("cluster"), F.col("cluster").alias("up"))
-        new = new.join(jump, "cluster").select("id", F.col("up").alias("cluster")).checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else new.join(jump, "cluster").select("id", F.col("up").alias("cluster")).persist()
-        moved = new.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").isEmpty()
-        label = new
-        if moved:
-            break
-    border = both.join(core.select(F.col("id").alias("b")), "b").join(core.select(F.col("id").alias("a")), "a", "left_anti").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    border = border.join(label.select(F.col("id").alias("b"), "cluster"), "b").select(F.col("a").alias("id"), "cluster")
-    known = label.union(border)
-    return rows.select("id").join(known, "id", "left").fillna(-1, ["cluster"])
+    neighbours, themselves included; a border point joins its nearest core point's cluster. Pairs are counted, and then
+    linked, in the task where their blocks meet; a row leaves one number there, so no table of pairs is made. Of a core
+    row's smallest rows in all its tasks, the smallest stands for the others, so only those are left to be linked."""
+    rows = rows.select("id", "v")
+    near = _kept(blocks.degrees(rows, eps))
+    dense = rows.join(near, "id", "left").select("id", "v", (F.coalesce("n", F.lit(0)) + 1 >= least).alias("core"))
+    other, core = F.min_by("other", F.struct("d", "other")).alias("other"), (F.min("d") < 0).alias("core")
+    reach = F.collect_set(F.when(F.col("d") == -1, F.col("other"))).alias("reach")  # one of each task
+    met = _kept(blocks.density_links(dense, eps).groupBy("id").agg(other, core, reach))
+    roots = _smallest(met.where("core").select(F.explode("reach").alias("id"), "other"))
+    label = met.where("core").join(roots.withColumnRenamed("id", "other"), "other", "left").select("id", F.coalesce("cluster", "other").alias("cluster"))
+    border = met.where("NOT core").select(F.col("id").alias("at"), F.col("other").alias("id")).join(label, "id").select(F.col("at").alias("id"), "cluster")
+    return rows.select("id").join(label.union(border), "id", "left").fillna(-1, ["cluster"])
 
 
 def _condensed(edges: list[tuple[float, int, int]], n: int, size: int, leaf: bool, epsilon: float) -> np.ndarray:
